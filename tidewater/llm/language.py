@@ -139,6 +139,7 @@ def phrases(m: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             got[:n] += miss
             # a phrase ends; the symbol begins the next one, or is one of its own if the language lacks it
             state[:n] = np.where(miss, np.maximum(root[c], 1), to)
+        got -= state == 1  # after a last symbol that the language lacks nothing has begun
         out[:, k] = np.bincount(lane_text[order], got, len(texts))
     return out, length
 

@@ -10,6 +10,7 @@ features of those rows alone come to the driver. Every document is then scored w
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -26,11 +27,17 @@ BINS = 12
 RANK = 8
 EPOCHS = 12
 BATCH = 128
+#: Small samples are gone over until so many steps are made.
+LEAST_STEPS = 600
 RATE = 0.05
 L2 = 1e-5
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
-SIZE = STATS * BINS + WORD_SPACE
+SHAPE_SPACE = 1 << 10
+WORDS_AT = STATS * BINS + SHAPE_SPACE
+SIZE = WORDS_AT + WORD_SPACE
+RUNS = re.compile(r"(.)\1+")
+SHAPE = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "123456789"}})
 CACHE = 200_000
 
 
@@ -67,26 +74,35 @@ def statistics(text: str, words: list[str]) -> list[float]:
     ]
 
 
-def features(text: str | None, cache: dict[str, int]) -> tuple[list[int], list[float]]:
-    """Indices and values. Each statistic lights one of its bins; words are hashed and share a unit norm."""
+def shape(word: str) -> str:
+    """A word's pattern of letters, digits and signs, with runs of one kind written once."""
+    return RUNS.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else c for c in word.translate(SHAPE)))[:8]
+
+
+def features(text: str | None, cache: dict[str, tuple[int, int]]) -> tuple[list[int], list[float]]:
+    """Indices and values. Each statistic lights one of its bins; hashed words, and their hashed shapes, share a unit norm each."""
     text = text or ""
     words = text.split()
     idx, val = [], []
     for i, x in enumerate(statistics(text, words)):
         idx.append(i * BINS + min(BINS - 1, max(0, int(x * BINS))))
         val.append(0.5)
-    counts: dict[int, int] = {}
+    each: dict[int, int] = {}
+    kinds: dict[int, int] = {}
     for w in words:
         k = cache.get(w)
         if k is None:
             if len(cache) >= CACHE:
                 cache.clear()
-            k = cache[w] = STATS * BINS + zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORD_SPACE
-        counts[k] = counts.get(k, 0) + 1
-    if counts:
-        x = np.log1p(np.fromiter(counts.values(), float, len(counts)))
-        idx += counts.keys()
-        val += (x / np.sqrt((x * x).sum())).tolist()
+            code = zlib.crc32(w.lower().encode("utf-8", "surrogatepass"))
+            k = cache[w] = (WORDS_AT + code % WORD_SPACE, STATS * BINS + zlib.crc32(shape(w).encode("utf-8", "surrogatepass")) % SHAPE_SPACE)
+        each[k[0]] = each.get(k[0], 0) + 1
+        kinds[k[1]] = kinds.get(k[1], 0) + 1
+    for counts in (each, kinds):
+        if counts:
+            x = np.log1p(np.fromiter(counts.values(), float, len(counts)))
+            idx += counts.keys()
+            val += (x / np.sqrt((x * x).sum())).tolist()
     return idx, val
 
 
@@ -124,7 +140,7 @@ def train(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, seed: i
         m.v[:] = 0
         return m
     gw, gv, g0 = np.full(SIZE, 1e-3), np.full((SIZE, RANK), 1e-3), 1e-3
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, math.ceil(LEAST_STEPS * BATCH / len(rows)))):
         order = rng.permutation(len(rows))
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
@@ -176,7 +192,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     NULL and empty texts are scored by their statistics alone. A NULL doc_id counts as held out.
     """
     handle = docs.sparkSession.sparkContext.broadcast(machine)
-    cache: dict[str, int] = {}
+    cache: dict[str, tuple[int, int]] = {}
 
     def run(c: dict[str, list]) -> dict[str, list]:
         s = score(handle.value, [features(t, cache) for t in c["text"]])
@@ -189,7 +205,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
 def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
     """The rows of docs whose text scores at least the threshold; no shuffle."""
     handle = docs.sparkSession.sparkContext.broadcast(machine)
-    cache: dict[str, int] = {}
+    cache: dict[str, tuple[int, int]] = {}
 
     def run(batches):
         import pyarrow as pa
