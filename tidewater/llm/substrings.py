@@ -139,10 +139,11 @@ def removed(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     k = _keyed(docs)
     copies = cut(k.groupBy("t1", "t2").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").select("t1", "t2", "first"))
     rows = copies.count()
-    d = k.join(_sized(copies, rows), ["t1", "t2"], "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)))
-    heads = d.filter(~F.col("copy")).select("ord", "t1", "text")
+    d = k.join(_sized(copies, rows), ["t1", "t2"], "left").select("doc_id", "text", "ord", "t1", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)).alias("copy"))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A seed that occurs twice in a batch is settled here: its rows go on as marks, and one row stands for the
+        # batch in the search across batches. So a seed that is everywhere brings one row a batch to its task.
         h = Hasher()
         for b in batches:
             s, t = [], []
@@ -150,23 +151,48 @@ def removed(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
                 x = h.words(text)[1]
                 if len(x) >= window:
                     p = selected(h.runs(x, seed, BASES[0]), window, seed)
-                    s.append(p)
+                    s.append(p.view(np.int64))
                     t.append(np.full(len(p), t1, dtype=np.int64))
             if s:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s).view(np.int64)), pa.array(np.concatenate(t))], names=["seed", "t1"])
+                s, t = np.concatenate(s), np.concatenate(t)
+                _, at, back, n = np.unique(s, return_index=True, return_inverse=True, return_counts=True)
+                many = n[back] > 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.r_[s[at], t[many]]), pa.array(np.r_[t[at], s[many]]), pa.array(np.r_[np.zeros(len(at), dtype=bool), np.ones(int(many.sum()), dtype=bool)])],
+                    names=["key", "other", "settled"],
+                )
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows sorted by key: a seed row whose neighbour has its key is a repeated seed. One row is held back.
+        held: tuple[int, int, bool] | None = None
+        for b in batches:
+            key, other, settled = (np.asarray(b.column(c)) for c in ("key", "other", "settled"))
+            mark = settled
+            yield pa.RecordBatch.from_arrays([pa.array(key[mark]), pa.array(other[mark])], names=["t1", "seed"])
+            key, other = key[~mark], other[~mark]
+            if not len(key):
+                continue
+            same = np.r_[held is not None and held[0] == key[0], key[1:] == key[:-1]]
+            twice = same | np.r_[same[1:], False]
+            if held is not None and (held[2] or same[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([held[1]]), pa.array([held[0]])], names=["t1", "seed"])
+            yield pa.RecordBatch.from_arrays([pa.array(other[:-1][twice[:-1]]), pa.array(key[:-1][twice[:-1]])], names=["t1", "seed"])
+            held = (int(key[-1]), int(other[-1]), bool(twice[-1]))
+        if held is not None and held[2]:
+            yield pa.RecordBatch.from_arrays([pa.array([held[1]]), pa.array([held[0]])], names=["t1", "seed"])
 
     # a row repeated exactly brings its seeds twice; that only adds look-ups
-    index = heads.select("text", "t1").mapInArrow(seeds, "seed bigint, t1 bigint").groupBy("seed", "t1").agg(F.count("*").alias("c"))
-    index = cut(index)
-    twice = index.groupBy("seed").agg(F.sum("c").alias("c")).filter("c > 1").select("seed")
-    marks = cut(index.join(twice, "seed").groupBy("t1").agg(F.collect_list("seed").alias("seeds")))  # at most a document's own seeds
-    n_marks = marks.count()
+    index = d.filter(~F.col("copy")).select("text", "t1").mapInArrow(seeds, "key bigint, other bigint, settled boolean")
+    found = index.repartition("key").sortWithinPartitions("settled", "key").mapInArrow(again, "t1 bigint, seed bigint")
+    marks = cut(found.groupBy("t1").agg(F.collect_set("seed").alias("seeds")))  # at most a document's own seeds
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher()
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for text, o, t1, ss in zip(*(b.column(c).to_pylist() for c in ("text", "ord", "t1", "seeds")), strict=True):
+            for text, o, t1, copy, ss in zip(*(b.column(c).to_pylist() for c in ("text", "ord", "t1", "copy", "seeds")), strict=True):
+                if copy:
+                    continue
                 x = h.words(text)[1]
                 hit = np.isin(chosen(h.runs(x, seed, BASES[0]), window, seed), np.array(ss, dtype=np.int64).view(np.uint64))
                 at = np.flatnonzero(hit)
@@ -176,9 +202,10 @@ def removed(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["w1", "w2", "ord", "t1", "pos"])
 
-    asked = heads.select("text", "ord", "t1").join(_sized(marks, n_marks * 64), "t1").mapInArrow(wanted, "w1 bigint, w2 bigint, ord bigint, t1 bigint, pos int")
+    # both joins with the texts read the same columns, so that Spark moves the texts once
+    asked = d.join(marks, "t1").mapInArrow(wanted, "w1 bigint, w2 bigint, ord bigint, t1 bigint, pos int")
     firsts = asked.groupBy("w1", "w2").agg(F.min(F.struct("ord", "t1", "pos")).alias("m"))
-    won = cut(firsts.groupBy(F.col("m.t1").alias("t1")).agg(F.collect_list("m.pos").alias("firsts")))  # at most a document's own windows
+    won = firsts.groupBy(F.col("m.t1").alias("t1")).agg(F.collect_list("m.pos").alias("firsts"))  # at most a document's own windows
     told = marks.join(won, "t1", "left")
 
     def final(c: dict[str, list]) -> dict[str, list]:
@@ -203,8 +230,7 @@ def removed(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
         return out
 
     hasher: list[Hasher] = []
-    joined = d.select("doc_id", "text", "copy", "t1").join(told, "t1", "left").select("doc_id", "text", "copy", "seeds", "firsts")
-    return map_rows(joined, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, n_factors bigint", final)
+    return map_rows(d.join(told, "t1", "left"), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, n_factors bigint", final)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
