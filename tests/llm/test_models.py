@@ -152,6 +152,13 @@ def test_scan_equals_whole_path(monkeypatch):
             assert (a == pieces.plus(mats[0], pieces.plus(mats[1], mats[2]))).all()
 
 
+def test_many_stretches_equal_one_by_one():
+    p = pieces.Pieces(pieces.model_bytes())
+    rng = random.Random(2)
+    words = [" " * rng.randrange(3) + "".join(rng.choice("abthiecnogré漢☃") for _ in range(rng.randrange(1, 30))) for _ in range(500)] + ["\n", " ", "   "]
+    assert p.solve_many(words) == [p.solve(w, 0, len(w), len(w)) for w in words]
+
+
 def test_pieces_odd_and_giant(spark, odd):
     m = pieces.model_bytes()
     e = pieces.encoded(odd, m)

@@ -37,6 +37,8 @@ SCALE = 10_000
 GIANT = 1 << 15
 CHUNK = 1 << 13
 NONE = -(1 << 62)
+#: Stretches of up to so many characters are remembered, CACHE of them a worker.
+REMEMBERED = 64
 CACHE = 500_000
 STRETCH = re.compile(r" *[^ \n]+|\n| +")
 UNKNOWN_PENALTY = 10
@@ -82,7 +84,110 @@ class Pieces:
         self.begins: dict[str, tuple[int, int] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.width = max(map(len, self.pieces), default=1)
         self.unknown = low - UNKNOWN_PENALTY * SCALE
-        self.cache: dict[str, tuple[bytes, int]] = {}
+        self.ids_of: dict[str, bytes] = {}
+        self.score_of: dict[str, int] = {}
+        self._trie()
+
+    def _trie(self) -> None:
+        """The pieces as a trie whose edges (node, character) lie in an open-addressed table, for look-ups of whole arrays."""
+        number = {"": 0} | {b: i + 1 for i, b in enumerate(self.begins)}
+        keys = np.array([(number[b[:-1]] << 21) + ord(b[-1]) for b in self.begins], dtype=np.uint64)
+        self.mask = (1 << (4 * len(keys)).bit_length()) - 1
+        self.edge_key = np.full(self.mask + 1, (1 << 64) - 1, dtype=np.uint64)
+        self.edge_to = np.zeros(self.mask + 1, dtype=np.int64)
+        for k, h, to in zip(keys.tolist(), self._slot(keys).tolist(), range(1, len(keys) + 1), strict=True):
+            while self.edge_key[h] != (1 << 64) - 1:
+                h = (h + 1) & self.mask
+            self.edge_key[h], self.edge_to[h] = k, to
+        self.node_id = np.array([-1] + [-1 if x is None else x[0] for x in self.begins.values()], dtype=np.int64)
+        self.node_score = np.array([0] + [0 if x is None else x[1] for x in self.begins.values()], dtype=np.int64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def _child(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The child of each node by a character; 0 if there is none."""
+        key = (node.astype(np.uint64) << np.uint64(21)) + char
+        h = self._slot(key)
+        out = np.zeros(len(key), dtype=np.int64)
+        open_ = np.arange(len(key))
+        while len(open_):
+            found = self.edge_key[h[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.edge_to[h[open_[hit]]]
+            open_ = open_[~hit & (found != np.uint64((1 << 64) - 1))]
+            h[open_] = (h[open_] + 1) & self.mask
+        return out
+
+    def solve_many(self, words: list[str]) -> list[tuple[bytes, int]]:
+        """solve() for many stretches at once: the same relaxations in the same order, place by place over all words."""
+        words_at = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        size = np.array([len(words[i]) for i in words_at], dtype=np.int64)
+        flat = np.frombuffer("".join(words[i] for i in words_at).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        begin = np.cumsum(size) - size
+        end = np.repeat(begin + size, size)
+        arcs = []  # by length: (id, score) of each place; id -2 for no piece
+        at, node = np.arange(len(flat)), np.zeros(len(flat), dtype=np.int64)
+        for d in range(self.width):
+            node = self._child(node, flat[at + d])
+            ids, score = np.full(len(flat), -2, dtype=np.int64), np.full(len(flat), NONE, dtype=np.int64)
+            real = self.node_id[node] >= 0
+            ids[at[real]], score[at[real]] = self.node_id[node[real]], self.node_score[node[real]]
+            if d == 0:
+                lone = ids == -2
+                ids[lone], score[lone] = -1, self.unknown
+            arcs.append((ids, score))
+            go = (node > 0) & (at + d + 1 < end[at])
+            at, node = at[go], node[go]
+            if not len(at):
+                break
+        # place t of a word is kept at begin + t + its number: each word has one place more than characters
+        shift = np.arange(len(size))
+        best = np.full(len(flat) + len(size), NONE, dtype=np.int64)
+        back, by = np.zeros(len(best), dtype=np.int64), np.zeros(len(best), dtype=np.int64)
+        best[begin + shift] = 0
+        for t in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -t, side="left"))  # words longer than t
+            p, q = begin[:n] + t, begin[:n] + shift[:n] + t
+            for d, (ids, score) in enumerate(arcs):
+                k = np.flatnonzero(ids[p] != -2)
+                if len(k):
+                    v, to = best[q[k]] + score[p[k]], q[k] + d + 1
+                    better = v > best[to]
+                    to = to[better]
+                    best[to], back[to], by[to] = v[better], q[k[better]], ids[p[k[better]]]
+        last = begin + shift + size
+        total = best[last]
+        steps, live, here = [], np.arange(len(size)), last.copy()
+        strange = np.zeros(len(size), dtype=bool)
+        while len(live):
+            ids = by[here[live]]
+            strange[live[ids < 0]] = True
+            steps.append((live, ids))
+            here[live] = back[here[live]]
+            live = live[here[live] > begin[live] + shift[live]]
+        out: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
+        if steps:
+            word = np.concatenate([x for x, _ in steps])
+            order = np.lexsort((-np.repeat(np.arange(len(steps)), [len(x) for x, _ in steps]), word))
+            packed = np.concatenate([i for _, i in steps])[order].astype(np.int32).tobytes()
+            upto = np.cumsum(np.bincount(word, minlength=len(size))) * 4
+            for j, (i, e, f, v, odd) in enumerate(zip(words_at, upto.tolist(), [0, *upto[:-1].tolist()], total.tolist(), strange.tolist(), strict=True)):
+                w = words[i]
+                out[i] = self.solve(w, 0, len(w), len(w)) if odd else (packed[f:e], v)
+        return out
+
+    def prepare(self, stretches: set[str]) -> None:
+        """Remembers the solutions of short stretches that are not known yet."""
+        new = [x for x in stretches if x not in self.ids_of and len(x) <= REMEMBERED]
+        if len(self.ids_of) + len(new) > CACHE:
+            self.ids_of.clear()
+            self.score_of.clear()
+            new = [x for x in stretches if len(x) <= REMEMBERED]
+        for k in range(0, len(new), 1 << 14):
+            part = new[k : k + (1 << 14)]
+            for x, (ids, score) in zip(part, self.solve_many(part), strict=True):
+                self.ids_of[x], self.score_of[x] = ids, score
 
     def arcs(self, s: str, i: int) -> list[tuple[int, int | None, int]]:
         """(end, piece id, score) of the pieces from place i, shortest first; id None for an unknown character."""
@@ -137,14 +242,10 @@ class Pieces:
 
     def stretch(self, s: str) -> tuple[bytes, int]:
         """Ids and score of a stretch that begins and ends where no piece can cross."""
-        x = self.cache.get(s)
-        if x is None:
-            x = self.solve(s, 0, len(s), len(s)) if len(s) <= CHUNK else self._long(s)
-            if len(s) <= 64:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[s] = x
-        return x
+        x = self.ids_of.get(s)
+        if x is not None:
+            return x, self.score_of[s]
+        return self.solve(s, 0, len(s), len(s)) if len(s) <= CHUNK else self._long(s)
 
     def _long(self, s: str) -> tuple[bytes, int]:
         parts = chunks(s, self.width)
@@ -152,10 +253,19 @@ class Pieces:
         states, score = boundary_states(mats)
         return b"".join(self.trace(b, n, i, j) for (b, n), (i, j) in zip(parts, states, strict=True)), score
 
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        cut = [STRETCH.findall(" " + t) if t else [] for t in texts]
+        self.prepare(set().union(*cut))
+        out = []
+        for c in cut:
+            try:
+                out.append(b"".join(map(self.ids_of.__getitem__, c)))
+            except KeyError:  # a stretch too long to be remembered
+                out.append(b"".join([self.stretch(x)[0] for x in c]))
+        return out
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join([self.stretch(x)[0] for x in STRETCH.findall(" " + text)])
+        return self.encode_many([text])[0]
 
     @staticmethod
     def cuts(s: str, n: int) -> tuple[int, int] | None:
@@ -187,7 +297,9 @@ class Pieces:
                         np.maximum(rows[e], np.where(rows[i] > NONE, rows[i] + v, NONE), out=rows[e])
             return rows[n : n + w].T.copy()
         head = self._entries(s, c[0])
-        mid = sum(self.stretch(x)[1] for x in STRETCH.findall(s[c[0] : c[1]]))
+        inner = STRETCH.findall(s[c[0] : c[1]])
+        self.prepare(set(inner))
+        mid = sum(self.stretch(x)[1] for x in inner)
         tail = self._exits(s, c[1], n)
         ok = np.ix_(head > NONE, tail > NONE)
         out[ok] = head[head > NONE][:, None] + mid + tail[tail > NONE][None, :]
@@ -218,7 +330,9 @@ class Pieces:
         c = self.cuts(s, n)
         if c is None:
             return self.solve(s, i, n, n + j)[0] if i < n + j else b""
-        mid = [self.stretch(x)[0] for x in STRETCH.findall(s[c[0] : c[1]])]
+        inner = STRETCH.findall(s[c[0] : c[1]])
+        self.prepare(set(inner))
+        mid = [self.stretch(x)[0] for x in inner]
         head = self.solve(s, i, c[0], c[0])[0] if i < c[0] else b""
         return b"".join([head, *mid, self.solve(s, c[1], n, n + j)[0]])
 
@@ -335,7 +449,7 @@ def encoded(docs: DataFrame, model: bytes, giant: int = GIANT) -> DataFrame:
             for k in range(0, b.num_rows, 500):
                 s = b.slice(k, 500)
                 t = s.column(1).to_pylist()
-                yield rows(s.column(0), t, list(map(worker().encode, t)))
+                yield rows(s.column(0), t, worker().encode_many(t))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
