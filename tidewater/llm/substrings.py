@@ -235,3 +235,17 @@ def removed(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest([md5(array_to_string(w[i:i+19], ' ')) for i in range(1, len(w) - 18)]) AS h, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+again AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+dead AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again),
+edge AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS DISTINCT FROM p - 1 AS fresh FROM dead),
+gone AS (SELECT doc_id, count(*) AS n, count(*) FILTER (fresh) AS f FROM edge GROUP BY 1),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN dead USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(f, 0)::BIGINT AS n_factors
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
