@@ -23,6 +23,8 @@ from .common import cut, map_rows, table
 #: Bounds of the training sample: characters and documents a language.
 TRAIN_CHARS = 40_000
 TRAIN_DOCS = 200
+#: The smallest hashes of a language are sought in so many parts first, so that what one task sorts has a bound.
+PARTS = 16
 LANE = 256
 FOLDS, HELD_OUT = 3, 1
 LETTER = re.compile(r"[^\W\d_]")
@@ -179,7 +181,9 @@ def fit(docs: DataFrame) -> Model:
     d = d.filter(F.col("text").rlike("\\p{L}")).withColumn("h", F.xxhash64("text"))
     texts = d.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n"))
     w = Window.partitionBy("lang").orderBy("h")
-    low = texts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= TRAIN_DOCS)
+    part = Window.partitionBy("lang", "part").orderBy("h")
+    few = texts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).withColumn("r", F.row_number().over(part)).filter(F.col("r") <= TRAIN_DOCS)
+    low = few.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= TRAIN_DOCS)
     upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
     pick = cut(low.withColumn("before", F.coalesce(upto, F.lit(0))).filter(F.col("before") < TRAIN_CHARS).select("lang", "h"))
     rows = d.join(F.broadcast(pick), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").toLocalIterator()
