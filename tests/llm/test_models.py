@@ -6,6 +6,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tidewater.llm import html, language, pieces, quality, secrets
@@ -37,6 +38,29 @@ def test_language_accuracy(spark, sf_small):
     assert sum(x.lang_pred == truth[x.doc_id] for x in held) > 0.98 * len(held)
 
 
+def test_language_sample_is_the_smallest_hashes(spark, sf_small, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_DOCS", 7)
+    monkeypatch.setattr(language, "learn", lambda samples: samples)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        docs = table(spark, sf_small, "documents").select("doc_id", "text", "lang")
+        got = language.fit(docs.unionByName(docs))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want: dict[str, dict[int, str]] = {}
+    for r in docs.collect():
+        if fold(r.doc_id, 3) != 1 and r.lang is not None and any(map(str.isalpha, r.text or "")):
+            want.setdefault(r.lang, {})[np.uint64(xxhash.xxh64_intdigest(r.text.encode(), 42)).astype(np.int64)] = r.text
+    for lang, texts in want.items():
+        rows, n = [], 0
+        for h in sorted(texts)[:7]:
+            if n < language.TRAIN_CHARS:
+                rows.append(texts[h])
+                n += len(texts[h])
+        assert got[lang] == rows
+    assert got.keys() == want.keys()
+
+
 def test_suffix_automaton():
     rng = random.Random(0)
     seq = [rng.randrange(2, 5) for _ in range(300)]
