@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values of the log format: column names and the marks that begin a row.
 ANN_COLUMNS = ["Method", "WPQ", "Threads_Per_Q", "Blocks", "Time_ms", "VRAM_Hits", "DRAM_Misses", "Status"]
 BFS_COLUMNS = ["Method", "TPN", "Time_ms", "Edges_Acc", "T1_Hits", "T2_T3_Hits", "DRAM_Misses", "Status"]
+ROW_MARKS = ("Target_T", "BaM")
 
 
 def parse_lines(lines: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,7 +23,7 @@ def parse_lines(lines: DataFrame, columns: list[str]) -> DataFrame:
             "double" if name == "Time_ms" else "bigint"
         ).alias(name)
 
-    return lines.filter(F.col("value").rlike("^(Target_T|BaM)")).select(*(field(i, c) for i, c in enumerate(columns)))
+    return lines.filter(F.col("value").rlike(f"^({'|'.join(ROW_MARKS)})")).select(*(field(i, c) for i, c in enumerate(columns)))
 
 
 def read_bench_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
