@@ -17,10 +17,10 @@ HEADLINE = [
     "knn_topk_exact",
     "kmeans_iter_20",
     "ivf_search_nprobe10",
-    "edges_undirected",
-    "degree_stats",
-    "csr_edges",
-    "bfs_frontier_sizes",
+    "edges_undirected_whole",
+    "degree_stats_whole",
+    "csr_edges_whole",
+    "bfs_frontier_sizes_whole",
     "gather_by_index",
     "tier_hits_3",
     "cache_fifo_sim",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ K = 16
 NPROBE = 3
 QUERIES = 20
 DECIMALS = 6
+#: The SQL of the graph queries takes purchases of so many pieces or more; their NAME_whole take every purchase.
+LEAST = 48.0
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -39,6 +41,13 @@ def query(f: Query) -> Query:
     return f
 
 
+def graph_query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Registers f as NAME on the purchases of LEAST or more, and as NAME_whole on all purchases."""
+    REGISTRY[f.__name__] = f
+    REGISTRY[f"{f.__name__}_whole"] = partial(f, least=None)
+    return f
+
+
 def _round(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, DECIMALS) for c in cols})
 
@@ -47,16 +56,16 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return vec.sample_queries(vectors(spark, d), QUERIES)
 
 
-def _graph(spark: SparkSession, d: str) -> DataFrame:
-    return graph.symmetrize(purchase_edges(spark, d))
+def _graph(spark: SparkSession, d: str, least: float | None) -> DataFrame:
+    return graph.symmetrize(purchase_edges(spark, d, least))
 
 
 def _source(edges: DataFrame) -> int:
     return graph.pick_source(graph.degrees(edges)).first()["node"]
 
 
-def _bfs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = _graph(spark, d).persist()
+def _bfs(spark: SparkSession, d: str, least: float | None) -> tuple[DataFrame, DataFrame]:
+    e = _graph(spark, d, least).persist()
     return e, graph.bfs(e, _source(e))
 
 
@@ -155,66 +164,66 @@ def ivf_search_recall(spark: SparkSession, d: str) -> DataFrame:
     return _round(vec.recall_at_k(found, vec.brute_force_knn(vectors(spark, d), q, exclude_self=True)), "recall")
 
 
-@query
-def edges_undirected(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d)
+@graph_query
+def edges_undirected(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    return _graph(spark, d, least)
 
 
-@query
-def degree_table(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(_graph(spark, d), purchase_nodes(spark, d))
+@graph_query
+def degree_table(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    return graph.degrees(_graph(spark, d, least), purchase_nodes(spark, d))
 
 
-@query
-def degree_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _round(graph.degree_stats(graph.degrees(_graph(spark, d), purchase_nodes(spark, d))), "avg")
+@graph_query
+def degree_stats(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    return _round(graph.degree_stats(graph.degrees(_graph(spark, d, least), purchase_nodes(spark, d))), "avg")
 
 
-@query
-def csr_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return graph.csr_offsets(_graph(spark, d), purchase_nodes(spark, d)).select(F.coalesce("node", F.lit(-1)).alias("node"), "offset", "degree")
+@graph_query
+def csr_offsets(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    return graph.csr_offsets(_graph(spark, d, least), purchase_nodes(spark, d)).select(F.coalesce("node", F.lit(-1)).alias("node"), "offset", "degree")
 
 
-@query
-def csr_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.csr_edges(_graph(spark, d))
+@graph_query
+def csr_edges(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    return graph.csr_edges(_graph(spark, d, least))
 
 
-@query
-def max_degree_source(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pick_source(graph.degrees(_graph(spark, d)))
+@graph_query
+def max_degree_source(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    return graph.pick_source(graph.degrees(_graph(spark, d, least)))
 
 
-@query
-def graph_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return graph.graph_metadata(_graph(spark, d), purchase_nodes(spark, d))
+@graph_query
+def graph_metadata(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    return graph.graph_metadata(_graph(spark, d, least), purchase_nodes(spark, d))
 
 
-@query
-def frontier_expand_1hop(spark: SparkSession, d: str) -> DataFrame:
-    e = _graph(spark, d)
+@graph_query
+def frontier_expand_1hop(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    e = _graph(spark, d, least)
     return graph.expand(e, graph.pick_source(graph.degrees(e)))
 
 
-@query
-def bfs_distances(spark: SparkSession, d: str) -> DataFrame:
-    return _bfs(spark, d)[1]
+@graph_query
+def bfs_distances(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    return _bfs(spark, d, least)[1]
 
 
-@query
-def bfs_frontier_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.frontier_sizes(_bfs(spark, d)[1])
+@graph_query
+def bfs_frontier_sizes(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    return graph.frontier_sizes(_bfs(spark, d, least)[1])
 
 
-@query
-def bfs_summary(spark: SparkSession, d: str) -> DataFrame:
-    e, dist = _bfs(spark, d)
+@graph_query
+def bfs_summary(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    e, dist = _bfs(spark, d, least)
     return graph.bfs_summary(dist, graph.degrees(e))
 
 
-@query
-def bfs_unreached(spark: SparkSession, d: str) -> DataFrame:
-    return graph.unreached(graph.degrees(_graph(spark, d)).select("node"), _bfs(spark, d)[1])
+@graph_query
+def bfs_unreached(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    return graph.unreached(graph.degrees(_graph(spark, d, least)).select("node"), _bfs(spark, d, least)[1])
 
 
 @query
@@ -273,9 +282,9 @@ def gather_coalesced(spark: SparkSession, d: str) -> DataFrame:
     return paging.coalesced_gather(event_trace(spark, d), _backing(spark))
 
 
-@query
-def segment_sum(spark: SparkSession, d: str) -> DataFrame:
-    return graph.segment_sum(graph.csr_offsets(_graph(spark, d), purchase_nodes(spark, d)), _backing(spark))
+@graph_query
+def segment_sum(spark: SparkSession, d: str, least: float | None = LEAST) -> DataFrame:
+    return graph.segment_sum(graph.csr_offsets(_graph(spark, d, least), purchase_nodes(spark, d)), _backing(spark))
 
 
 @query

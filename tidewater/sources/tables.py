@@ -14,8 +14,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
 
 
-def purchase_edges(spark: SparkSession, sf_dir: str, min_quantity: float | None = 48.0) -> DataFrame:
-    """Bipartite customer-part edges, one direction: u = 2*custkey, v = 2*partkey+1."""
+def purchase_edges(spark: SparkSession, sf_dir: str, min_quantity: float | None = None) -> DataFrame:
+    """Bipartite customer-part edges, one direction: u = 2*custkey, v = 2*partkey+1. All purchases unless min_quantity is given."""
     li = table(spark, sf_dir, "lineitem")
     if min_quantity is not None:
         li = li.filter(F.col("l_quantity") >= min_quantity)
