@@ -92,22 +92,75 @@ def phrase_matches(docs: DataFrame, wins: DataFrame) -> DataFrame:
     return true.distinct()  # a repeated row finds the same places again
 
 
+def near_anchors(wins: DataFrame, docs: DataFrame, count: int, edits: Column) -> DataFrame:
+    """(window, rank, offset, term, need): the `count` rarest terms of each window among those that the corpus has.
+
+    A window may lack `edits` of its words. Each word that the corpus lacks is one of them; `need` is how many of the
+    anchors are left if each further one costs an anchor. Windows that lack more words than that cannot occur.
+    """
+    spots = wins.select("window", edits.alias("edits"), F.posexplode("words").alias("offset", "term"))
+    vocab = cut(spots.select("term").distinct())
+    seen = keyed(docs).select(F.explode("w").alias("term")).join(_sized(vocab, vocab.count()), "term").groupBy("term").agg(F.count("*").alias("df"))
+    all_of = Window.partitionBy("window")
+    first = spots.groupBy("window", "edits", "term").agg(F.min("offset").alias("offset"), F.count("*").alias("times"))
+    left = first.join(seen, "term", "left").withColumn("spare", F.col("edits") - F.coalesce(F.sum(F.when(F.col("df").isNull(), F.col("times"))).over(all_of), F.lit(0)))
+    ranked = left.filter("spare >= 0 AND df IS NOT NULL").withColumn("rank", F.row_number().over(all_of.orderBy("df", "term"))).filter(F.col("rank") <= count)
+    return ranked.select("window", "rank", "offset", "term", F.greatest(F.count("*").over(all_of) - F.col("spare"), F.lit(1)).alias("need"))
+
+
 def proximity_matches(docs: DataFrame, wins: DataFrame, slop: int = 2, terms: int = 3) -> DataFrame:
-    """(doc_id, h, window, start, terms_near): windows whose rarest terms all occur within `slop` of their exact offsets.
+    """(doc_id, h, window, start, words_near): every place where a window occurs with small changes.
 
-    Postings are moved back by their offsets as for phrases and gathered in cells of the start position;
-    a start may differ from its neighbours by up to slop words.
+    There all words of the window but one in WINDOW lie within `slop` words of their exact places, so one of ten words
+    may be changed, dropped or set between others. Candidates are starts near which the rarest terms agree; the
+    document's words then decide. Of starts within `slop` of each other, those with most words in place are kept.
+    A start is negative if a document begins inside the window.
     """
-    a = anchors(wins, docs, terms)
-    a = cut(a.withColumn("need", F.count("*").over(Window.partitionBy("window"))))
+    wide = 2 * slop + 1  # anchors of one start lie in one of two neighbouring cells of so many words
+    if terms * 2 * wide > 62:
+        raise ValueError("the cells of all anchors must fit into one number")
+    edits = F.floor(F.size("words") / WINDOW)
+    a = cut(near_anchors(wins, docs, terms, edits))
     rows = a.count()
-    index = postings(docs, a.select("term").distinct(), rows)
-    hit = index.join(_sized(a.select("term", "window", "rank", "offset", "need"), rows), "term")
+    index = postings(docs, cut(a.select("term").distinct()), rows)
+    hit = index.join(_sized(a, rows), "term")
     moved = hit.select("doc_id", "h", "window", "need", "rank", (F.col("pos") - F.col("offset")).alias("at"))
-    near = moved.withColumn("start", F.explode(F.sequence(F.col("at") - slop, F.col("at") + slop)))
-    g = near.groupBy("doc_id", "h", "window", "start").agg(F.countDistinct("rank").alias("terms_near"), F.max("need").alias("need"))
-    best = g.filter("terms_near = need").groupBy("doc_id", "h", "window", "terms_near")
-    return best.agg(F.min("start").alias("start")).select("doc_id", "h", "window", "start", "terms_near")
+    cells = moved.select("doc_id", "h", "window", "need", "rank", "at", F.explode(F.array(F.expr(f"floor(at / {wide})"), F.expr(f"floor(at / {wide}) + 1"))).alias("cell"))
+    bit = F.expr(f"shiftleft(1L, cast((rank - 1) * {2 * wide} + at - (cell - 1) * {wide} as int))")
+    g = cells.groupBy("doc_id", "h", "window", "cell").agg(F.bit_or(bit).alias("m"), F.max("need").alias("need"))
+    ranks = [f"shiftright(m, {r * 2 * wide}) & {(1 << 2 * wide) - 1}" for r in range(terms)]
+    agree = " + ".join(f"int((shiftright(shiftleft({m}, {2 * slop}), j + {slop}) & {(1 << wide) - 1}) <> 0)" for m in ranks)
+    some = g.filter(F.expr(f"{' + '.join(f'int(({m}) <> 0)' for m in ranks)} >= need"))
+    at = F.expr(f"transform(filter(sequence({-slop}, {2 * wide - 1 + slop}), j -> {agree} >= need), j -> cast((cell - 1) * {wide} + j as int))")
+    found = cut(some.select("doc_id", "h", "window", F.explode(at).alias("start")).distinct())
+    wanted = found.join(_sized(wins.select("window", "words"), rows), "window").select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "window", "words", "start")
+    starts = wanted.groupBy("d2", "h2").agg(F.collect_set(F.struct("start", "window", "words")).alias("c"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
+    joined = texts.join(starts, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
+    each = joined.select("doc_id", "h", F.explode(F.transform("c", lambda x: _placed(x, slop))).alias("x")).select("doc_id", "h", "x.*").distinct()
+    good = each.filter("words_near >= len - edits")
+    by = Window.partitionBy("doc_id", "h", "window").orderBy("start").rangeBetween(-slop, slop)
+    return good.withColumn("most", F.max(F.struct("words_near", "exact")).over(by)).filter("most = struct(words_near, exact)").select("doc_id", "h", "window", "start", "words_near")
+
+
+def _placed(x: Column, slop: int) -> Column:
+    """How many words of a candidate's window stand within slop words of their places in w, and how many exactly there."""
+    at = F.sequence(F.lit(0), F.size(x["words"]) - 1)
+
+    def near(i: Column) -> Column:
+        low = F.greatest(x["start"] + i - slop, F.lit(0))
+        n = F.greatest(x["start"] + i + slop + 1 - low, F.lit(0))
+        return F.array_contains(F.slice("w", low + 1, n), F.get(x["words"], i))
+
+    same = F.filter(at, lambda i: (x["start"] + i >= 0) & (F.get(F.col("w"), x["start"] + i) == F.get(x["words"], i)))
+    return F.struct(
+        x["window"].alias("window"),
+        x["start"].alias("start"),
+        F.size(x["words"]).alias("len"),
+        F.floor(F.size(x["words"]) / WINDOW).alias("edits"),
+        F.size(F.filter(at, near)).alias("words_near"),
+        F.size(same).alias("exact"),
+    )
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -153,6 +206,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("h")
 
 
+def op2_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, start, words_near): where documents hold a window of an item with small changes or none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    wins = cut(windows(table(spark, sf_dir, "benchmark").select("item_id", "text")))
+    m = proximity_matches(docs, wins).join(wins.select("window", F.explode("item_ids").alias("item_id")), "window")
+    return m.groupBy("doc_id", "h", "item_id", "start").agg(F.max("words_near").alias("words_near")).drop("h")
+
+
 ORACLE = rf"""
 WITH dw AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 bw AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

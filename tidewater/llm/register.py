@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op2_proximity": decontaminate.op2_proximity,
         "op3_secrets": secrets.op3_secrets,
         "op4_language": language.op4_language,
         "op5_simhash": simhash.op5_simhash,
