@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_BYTES = 256 << 20
+#: So many queries are compared with a batch of vectors at once.
+QUERY_BLOCK = 1024
 
 
 def l2_squared(a: Column, b: Column) -> Column:
@@ -30,6 +32,13 @@ def matrix(df: DataFrame, key: str, column: str) -> tuple[np.ndarray, np.ndarray
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
 
 
+def blocks(df: DataFrame, key: str, column: str) -> list[DataFrame]:
+    """The table in parts that each stay well below the bound of a broadcast matrix."""
+    d = df.select(F.count("*"), F.max(F.size(column))).first()
+    n = 1 + d[0] * (d[1] or 0) * 16 // MAX_BROADCAST_BYTES
+    return [df] if n == 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
 def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """All differences, in blocks of rows so that the cube stays small."""
     out = np.empty((len(x), len(c)))
@@ -81,17 +90,19 @@ def partial_topk(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: in
                 continue
             vid = np.asarray(b.column(b.schema.get_field_index("vec_id")))
             by = np.argsort(vid, kind="stable")
-            d = squared_distances(q, batch_matrix(b, "embedding")[by])
-            vid = vid[by]
-            if exclude_self:
-                d[ids[:, None] == vid[None, :]] = np.inf
-            d[~np.isfinite(d)] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, order, 1)
-            ok = np.isfinite(dist)
-            own = np.broadcast_to(ids[:, None], order.shape)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[ok]), pa.array(vid[order][ok]), pa.array(dist[ok])], names=["query_id", "vec_id", "dist"]
-            )
+            x, vid = batch_matrix(b, "embedding")[by], vid[by]
+            for i in range(0, len(ids), QUERY_BLOCK):
+                part = ids[i : i + QUERY_BLOCK]
+                d = squared_distances(q[i : i + QUERY_BLOCK], x)
+                if exclude_self:
+                    d[part[:, None] == vid[None, :]] = np.inf
+                d[~np.isfinite(d)] = np.inf
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                dist = np.take_along_axis(d, order, 1)
+                ok = np.isfinite(dist)
+                own = np.broadcast_to(part[:, None], order.shape)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[ok]), pa.array(vid[order][ok]), pa.array(dist[ok])], names=["query_id", "vec_id", "dist"]
+                )
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, dist double")

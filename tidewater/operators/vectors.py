@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import batch_matrix, matrix, nearest, partial_topk, squared_distances
+from ..functions.distance import batch_matrix, blocks, matrix, nearest, partial_topk, squared_distances
 from .positions import global_position
 
 
@@ -29,12 +30,12 @@ def brute_force_knn(vectors: DataFrame, queries: DataFrame, k: int = 1, exclude_
 
     Each batch of vectors yields its own k best, so what is shuffled is k rows a query and batch.
     """
-    ids, mat = matrix(queries, "query_id", "embedding")
-    if not len(ids):
+    parts = [(ids, mat) for ids, mat in (matrix(b, "query_id", "embedding") for b in blocks(queries, "query_id", "embedding")) if len(ids)]
+    if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, dist double")
     w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
     return (
-        partial_topk(vectors, ids, mat, k, exclude_self)
+        reduce(DataFrame.unionByName, (partial_topk(vectors, ids, mat, k, exclude_self) for ids, mat in parts))
         .withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "dist")

@@ -21,6 +21,10 @@ K = 16
 NPROBE = 3
 QUERIES = 20
 DECIMALS = 6
+#: The SQL of the searches takes QUERIES vectors of any table; their NAME_whole take every vector whose id this divides.
+EVERY = 100
+#: The reference's number of sampled queries.
+SAMPLED = 100
 #: The SQL of the graph queries takes purchases of so many pieces or more; their NAME_whole take every purchase.
 LEAST = 48.0
 
@@ -48,11 +52,20 @@ def graph_query(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return f
 
 
+def search_query(f: Callable[..., DataFrame], name: str | None = None) -> Callable[..., DataFrame]:
+    """Registers f as NAME with QUERIES sampled vectors, and as NAME_whole with every vector whose id EVERY divides."""
+    REGISTRY[name or f.__name__] = f
+    REGISTRY[f"{name or f.__name__}_whole"] = partial(f, whole=True)
+    return f
+
+
 def _round(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, DECIMALS) for c in cols})
 
 
-def _queries(spark: SparkSession, d: str) -> DataFrame:
+def _queries(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    if whole:
+        return vectors(spark, d).filter(F.col("vec_id") % EVERY == 0).select(F.expr(f"vec_id div {EVERY}").alias("query_id"), "vec_id", "embedding")
     return vec.sample_queries(vectors(spark, d), QUERIES)
 
 
@@ -75,15 +88,15 @@ def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ivf.build_index(v, c), c
 
 
-@query
-def nn_exact_l2(spark: SparkSession, d: str) -> DataFrame:
-    q = _queries(spark, d)
+@search_query
+def nn_exact_l2(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    q = _queries(spark, d, whole)
     return _round(vec.brute_force_knn(vectors(spark, d), q).drop("rank"), "dist")
 
 
-@query
-def knn_topk_exact(spark: SparkSession, d: str) -> DataFrame:
-    q = _queries(spark, d).withColumn("query_id", F.col("vec_id"))
+@search_query
+def knn_topk_exact(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    q = _queries(spark, d, whole).withColumn("query_id", F.col("vec_id"))
     return _round(vec.brute_force_knn(vectors(spark, d), q, k=10, exclude_self=True), "dist")
 
 
@@ -100,9 +113,14 @@ def query_sampler(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def top_centroids(spark: SparkSession, d: str) -> DataFrame:
+def query_sampler_whole(spark: SparkSession, d: str) -> DataFrame:
+    return vec.sample_queries(vectors(spark, d), SAMPLED).select("query_id", "vec_id")
+
+
+@search_query
+def top_centroids(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     v = vectors(spark, d)
-    return _round(vec.top_centroids(_queries(spark, d), vec.first_vectors(v, K), 10), "dist")
+    return _round(vec.top_centroids(_queries(spark, d, whole), vec.first_vectors(v, K), 10), "dist")
 
 
 @query
@@ -143,23 +161,23 @@ def cluster_size_stats(spark: SparkSession, d: str) -> DataFrame:
     return ivf.cluster_stats(ivf.cluster_sizes(*_index(spark, d)))
 
 
-def _search(nprobe: int, exclude_self: bool) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
+def _search(nprobe: int, exclude_self: bool) -> Callable[..., DataFrame]:
+    def run(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
         index, c = _index(spark, d)
-        return _round(ivf.search(index, c, _queries(spark, d), nprobe, exclude_self=exclude_self).drop("rank"), "dist")
+        return _round(ivf.search(index, c, _queries(spark, d, whole), nprobe, exclude_self=exclude_self).drop("rank"), "dist")
 
     return run
 
 
-REGISTRY["ivf_search"] = _search(NPROBE, False)
-REGISTRY["ivf_search_nprobe10"] = _search(10, False)
-REGISTRY["ivf_search_not_self"] = _search(NPROBE, True)
+search_query(_search(NPROBE, False), "ivf_search")
+search_query(_search(10, False), "ivf_search_nprobe10")
+search_query(_search(NPROBE, True), "ivf_search_not_self")
 
 
-@query
-def ivf_search_recall(spark: SparkSession, d: str) -> DataFrame:
+@search_query
+def ivf_search_recall(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     index, c = _index(spark, d)
-    q = _queries(spark, d).withColumn("query_id", F.col("vec_id"))
+    q = _queries(spark, d, whole).withColumn("query_id", F.col("vec_id"))
     found = ivf.search(index, c, q, NPROBE, exclude_self=True)
     return _round(vec.recall_at_k(found, vec.brute_force_knn(vectors(spark, d), q, exclude_self=True)), "recall")
 

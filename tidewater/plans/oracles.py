@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import DECIMALS, K, NPROBE, QUERIES
+from .catalog import DECIMALS, EVERY, K, NPROBE, QUERIES, SAMPLED
 
 EDGES = """d1 AS (SELECT DISTINCT 2*o_custkey AS u, 2*l_partkey+1 AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48),
 e AS (SELECT u AS src, v AS dst FROM d1 UNION SELECT v, u FROM d1),
@@ -146,3 +146,8 @@ SELECT *, round(hits * 100.0 / (hits + misses), {DECIMALS})::DOUBLE AS hit_pct,
 #: The graph queries over all purchases: the same SQL without its filter.
 FILTER = " WHERE l_quantity >= 48"
 ORACLES |= {f"{name}_whole": sql.replace(FILTER, "") for name, sql in ORACLES.items() if FILTER in sql}
+
+#: The searches over every vector whose id EVERY divides: the same SQL with that query set; the sampler has the reference's number.
+WHOLE_SET = f"q AS (SELECT vec_id // {EVERY} AS query_id, vec_id, embedding FROM embeddings WHERE vec_id % {EVERY} = 0)"
+ORACLES |= {f"{name}_whole": sql.replace(QUERY_SET, WHOLE_SET) for name, sql in ORACLES.items() if QUERY_SET in sql}
+ORACLES["query_sampler_whole"] = ORACLES["query_sampler"].replace(f"n // {QUERIES}", f"n // {SAMPLED}").replace(f"< {QUERIES})", f"< {SAMPLED})")
