@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -182,17 +183,18 @@ def _keys_only(bits: int, tables: int, dim: int):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding).
 
-    Vectors that are NULL, zero, not finite, incomplete or not of the commonest length have no links and are kept.
+    Vectors that are NULL, zero, not finite or incomplete have no links and are kept. Only vectors of one length link.
     Rows repeated exactly count as one vector; rows of one vec_id with different vectors pool their links.
     A NULL vec_id has no links, a NULL component and is kept. An empty table gives no rows.
     """
     v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
     usable = v.filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0").groupBy("vec_id", F.xxhash64("embedding").alias("h")).agg(F.first("embedding").alias("embedding"))
     usable = cut(usable.select("vec_id", "embedding"))
-    shape = usable.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if shape is None:
+    shapes = usable.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()
+    if not shapes:
         return v.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = cut(links(usable, shape.n, shape.dim, threshold, recall))
+    own = lambda x: usable.filter(F.size("embedding") == x.dim) if len(shapes) > 1 else usable
+    found = cut(reduce(DataFrame.unionByName, (links(own(x), x.n, x.dim, threshold, recall) for x in shapes)))
     n = found.filter("b IS NULL").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
     c = components(found.filter("b IS NOT NULL AND a <> b").select("a", "b")).select(F.col("node").alias("vec_id"), "component")
     out = v.select("vec_id").join(n, "vec_id", "left").join(c, "vec_id", "left")
