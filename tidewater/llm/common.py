@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut, ensure_checkpoint_dir
 
-__all__ = ["components", "cut", "documents", "ensure_checkpoint_dir", "grouped", "map_rows", "table"]
+__all__ = ["components", "cut", "documents", "ensure_checkpoint_dir", "fresh", "grouped", "map_rows", "slices", "table", "written"]
+
+
+#: Arrow batches are turned into Python objects so many bytes at a time.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +28,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch, so many at a time as hold about `size` bytes: Python's objects are several times larger."""
+    if batch.num_rows:
+        n = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, n):
+            yield batch.slice(k, n)
+
+
 def map_rows(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """mapInArrow with a function from lists of a batch's columns to lists of the new columns."""
+    """mapInArrow with a function from lists of a slice's columns to lists of the new columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in slices(whole):
                 out = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
                 yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, arrow[k]) for k, v in out.items()})
 
@@ -42,28 +70,28 @@ def map_rows(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of whole groups from batches sorted by the keys.
 
-    Each yielded table holds complete groups only; what a batch cuts off is carried to the next.
+    Each yielded table holds complete groups only; what a batch cuts off waits for the next, and is copied once.
     """
-    carry: pa.Table | None = None
+    held: list[pa.RecordBatch] = []
+    last: list | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        t = pa.Table.from_batches([b])
-        if carry is not None:
-            t = pa.concat_tables([carry, t])
-        ks = [np.asarray(t.column(k)) for k in keys]
-        differs = np.zeros(t.num_rows - 1, dtype=bool)
+        ks = [np.asarray(b.column(b.schema.get_field_index(k))) for k in keys]
+        differs = np.zeros(b.num_rows, dtype=bool)
+        differs[0] = last is not None and any(k[0] != x for k, x in zip(ks, last, strict=True))
         for k in ks:
-            differs |= k[1:] != k[:-1]
+            differs[1:] |= k[1:] != k[:-1]
+        last = [k[-1] for k in ks]
         at = np.flatnonzero(differs)
-        if not len(at):
-            carry = t
-            continue
-        last = int(at[-1]) + 1
-        yield t.slice(0, last)
-        carry = t.slice(last).combine_chunks()
-    if carry is not None and carry.num_rows:
-        yield carry
+        if len(at):
+            start = int(at[-1])
+            yield pa.Table.from_batches([*held, b.slice(0, start)] if start else held).combine_chunks()
+            held = [b.slice(start)]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

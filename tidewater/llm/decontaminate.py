@@ -1,9 +1,10 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
 Each benchmark window (a run of consecutive item words) is looked up by its rarest terms. The index
-stores (document, position) postings of exactly those terms over the whole corpus. A window's
-candidates are the postings of its rarest term, moved back by the term's offset in the window, that are
-also in the moved-back list of its second rarest; the document's words then confirm the phrase.
+stores (document, position) postings of the benchmark's terms over the whole corpus; one pass over the texts writes it,
+and frequencies, word counts and look-ups all read it. A window's candidates are the postings of its rarest term, moved
+back by the term's offset in the window, that are also in the moved-back list of its second rarest; the words of the
+documents that have candidates then confirm the phrase.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table, written
 
 WINDOW = 10
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words; a word is [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side is broadcast only if its counted rows stay below this; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
@@ -22,7 +24,9 @@ BROADCAST_ROWS = 200_000
 
 def words(text: Column) -> Column:
     """The words of a text in order; NULL has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    t = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(t) == F.length(t)  # of A-Z, lower() changes nothing else in such a text, and is quicker
+    return F.filter(F.split(F.when(plain, F.lower(t)).otherwise(F.translate(t, UPPER, LOWER)), BETWEEN), lambda x: x != "")
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -45,65 +49,89 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
 
 
-def anchors(wins: DataFrame, docs: DataFrame, count: int = 2) -> DataFrame:
-    """(window, words, rank, offset, term): the `count` rarest distinct terms of each window by corpus frequency.
+def postings(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """(doc_id, h, n_words, pos, term): the stored index, positions of the windows' terms in all documents.
 
-    Frequencies are counted over the whole corpus for the windows' own terms.
+    Every row of docs has a row with pos 0, or NULL if it has no words; its term is NULL if no window has it. The texts
+    are read and cut into words once, here.
     """
-    spots = wins.select("window", "words", F.posexplode("words").alias("offset", "term"))
-    vocab = cut(spots.select("term").distinct())
-    seen = keyed(docs).select(F.explode("w").alias("term")).join(_sized(vocab, vocab.count()), "term").groupBy("term").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("window").orderBy("df", "term")
-    first = spots.groupBy("window", "words", "term").agg(F.min("offset").alias("offset"))
+    vocab = cut(wins.select(F.explode("words").alias("term")).distinct())
+    known = _sized(vocab.withColumn("known", F.lit(True)), vocab.count())
+    # the outer explode has no filter on its words, which would cut the texts into words a second time
+    each = keyed(docs).withColumn("n_words", F.size("w")).select("doc_id", "h", "n_words", F.posexplode_outer("w").alias("pos", "term"))
+    spots = each.join(known, "term", "left").filter("known OR coalesce(pos, 0) = 0")
+    return written(spots.select("doc_id", "h", "n_words", "pos", F.when(F.col("known"), F.col("term")).alias("term")))
+
+
+def frequencies(index: DataFrame) -> DataFrame:
+    """(term, df): occurrences of the windows' terms over the whole corpus."""
+    return index.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+
+
+def anchors(wins: DataFrame, index: DataFrame, count: int = 2) -> DataFrame:
+    """(window, rank, offset, term, need): the `count` rarest distinct terms of each window by corpus frequency."""
+    spots = wins.select("window", F.posexplode("words").alias("offset", "term"))
+    w = Window.partitionBy("window")
+    first = spots.groupBy("window", "term").agg(F.min("offset").alias("offset"))
     # a window with a term that the corpus lacks cannot occur
-    ranked = first.join(seen, "term", "left").withColumn("none", F.count_if(F.col("df").isNull()).over(Window.partitionBy("window"))).filter("none = 0")
-    return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= count).select("window", "words", "rank", "offset", "term", "df")
+    ranked = first.join(frequencies(index), "term", "left").withColumn("none", F.count_if(F.col("df").isNull()).over(w)).filter("none = 0")
+    ranked = ranked.withColumn("rank", F.row_number().over(w.orderBy("df", "term"))).filter(F.col("rank") <= count)
+    return ranked.select("window", "rank", "offset", "term", F.count("*").over(w).alias("need"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
-    """(term, doc_id, h, pos): the inverted index of the given terms over all documents."""
-    spots = keyed(docs).select("doc_id", "h", F.posexplode("w").alias("pos", "term"))
-    return spots.join(_sized(terms, rows), "term").select("term", "doc_id", "h", "pos")
+def _hits(index: DataFrame, a: DataFrame, rows: int) -> DataFrame:
+    """The postings of the anchors' terms, each with the windows that it anchors."""
+    return index.filter("term IS NOT NULL").select("doc_id", "h", "pos", "term").join(_sized(a, rows), "term")
 
 
 def _candidates(index: DataFrame, a: DataFrame, rows: int) -> DataFrame:
     """(doc_id, h, window, start): offset-adjusted postings of the rarest terms, intersected."""
-    hit = index.join(_sized(a.select("term", "window", "rank", "offset", "need"), rows), "term")
+    hit = _hits(index, a, rows)
     moved = hit.select("doc_id", "h", "window", "need", "rank", (F.col("pos") - F.col("offset")).alias("start")).filter("start >= 0")
     lists = moved.groupBy("doc_id", "h", "window", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("ranks"), F.max("need").alias("need"))
     return lists.filter("bit_count(ranks) = need").select("doc_id", "h", "window", "start")
 
 
-def phrase_matches(docs: DataFrame, wins: DataFrame) -> DataFrame:
+def _beside_texts(docs: DataFrame, found: DataFrame, wins: DataFrame) -> DataFrame:
+    """(doc_id, h, w, c): the words of each document with candidates, and c, its candidates (start, window, words).
+
+    Only documents with candidates move: their keys are sent to the texts if their counted rows are few, else the
+    texts are dealt out by key.
+    """
+    named = wins.join(found.select("window").distinct(), "window", "left_semi").select("window", "words")
+    wanted = found.join(_sized(named, named.count()), "window").withColumnsRenamed({"doc_id": "d2", "h": "h2"})
+    starts = wanted.groupBy("d2", "h2").agg(F.collect_set(F.struct("start", "window", "words")).alias("c"))  # at most a document's own positions
+    same = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    ids = found.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).distinct()
+    few = ids.count()
+    if few <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(ids), same, "left_semi")
+    return texts.join(starts, same).select("doc_id", "h", words(F.col("text")).alias("w"), "c")
+
+
+def phrase_matches(docs: DataFrame, wins: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(doc_id, h, window, start, len): every exact occurrence of a window in a document, positions from 0."""
-    a = anchors(wins, docs)
-    a = cut(a.withColumn("need", F.count("*").over(Window.partitionBy("window"))))
-    rows = a.count()
-    terms = cut(a.select("term").distinct())
-    index = postings(docs, terms, rows)
-    found = cut(_candidates(index, a, rows))
-    wanted = found.join(_sized(wins.select("window", "words"), rows), "window")
-    starts = wanted.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "window", "words")).alias("c"))  # at most a document's own positions
-    texts = docs.withColumn("h", F.xxhash64("text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "h", "text")
-    both = starts.withColumnsRenamed({"doc_id": "d2", "h": "h2"})
-    joined = texts.join(both, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))).select("doc_id", "h", words(F.col("text")).alias("w"), "c")
+    index = postings(docs, wins) if index is None else index
+    a = cut(anchors(wins, index))
+    found = cut(_candidates(index, a, a.count()))
+    joined = _beside_texts(docs, found, wins)
     good = F.filter("c", lambda x: F.slice("w", x["start"] + 1, F.size(x["words"])) == x["words"])
-    true = joined.select("doc_id", "h", F.explode(good).alias("x")).select("doc_id", "h", "x.window", "x.start", F.size("x.words").alias("len"))
-    return true.distinct()  # a repeated row finds the same places again
+    # the outer explode keeps Spark from working the condition twice; a document without a match leaves a row without a window
+    true = joined.select("doc_id", "h", F.explode_outer(good).alias("x")).select("doc_id", "h", "x.window", "x.start", F.size("x.words").alias("len"))
+    return true.filter("window IS NOT NULL").distinct()  # a repeated row finds the same places again
 
 
-def near_anchors(wins: DataFrame, docs: DataFrame, count: int, edits: Column) -> DataFrame:
+def near_anchors(wins: DataFrame, index: DataFrame, count: int, edits: Column) -> DataFrame:
     """(window, rank, offset, term, need): the `count` rarest terms of each window among those that the corpus has.
 
     A window may lack `edits` of its words. Each word that the corpus lacks is one of them; `need` is how many of the
     anchors are left if each further one costs an anchor. Windows that lack more words than that cannot occur.
     """
     spots = wins.select("window", edits.alias("edits"), F.posexplode("words").alias("offset", "term"))
-    vocab = cut(spots.select("term").distinct())
-    seen = keyed(docs).select(F.explode("w").alias("term")).join(_sized(vocab, vocab.count()), "term").groupBy("term").agg(F.count("*").alias("df"))
     all_of = Window.partitionBy("window")
     first = spots.groupBy("window", "edits", "term").agg(F.min("offset").alias("offset"), F.count("*").alias("times"))
-    left = first.join(seen, "term", "left").withColumn("spare", F.col("edits") - F.coalesce(F.sum(F.when(F.col("df").isNull(), F.col("times"))).over(all_of), F.lit(0)))
+    left = first.join(frequencies(index), "term", "left").withColumn("spare", F.col("edits") - F.coalesce(F.sum(F.when(F.col("df").isNull(), F.col("times"))).over(all_of), F.lit(0)))
     ranked = left.filter("spare >= 0 AND df IS NOT NULL").withColumn("rank", F.row_number().over(all_of.orderBy("df", "term"))).filter(F.col("rank") <= count)
     return ranked.select("window", "rank", "offset", "term", F.greatest(F.count("*").over(all_of) - F.col("spare"), F.lit(1)).alias("need"))
 
@@ -120,10 +148,9 @@ def proximity_matches(docs: DataFrame, wins: DataFrame, slop: int = 2, terms: in
     if terms * 2 * wide > 62:
         raise ValueError("the cells of all anchors must fit into one number")
     edits = F.floor(F.size("words") / WINDOW)
-    a = cut(near_anchors(wins, docs, terms, edits))
-    rows = a.count()
-    index = postings(docs, cut(a.select("term").distinct()), rows)
-    hit = index.join(_sized(a, rows), "term")
+    index = postings(docs, wins)
+    a = cut(near_anchors(wins, index, terms, edits))
+    hit = _hits(index, a, a.count())
     moved = hit.select("doc_id", "h", "window", "need", "rank", (F.col("pos") - F.col("offset")).alias("at"))
     cells = moved.select("doc_id", "h", "window", "need", "rank", "at", F.explode(F.array(F.expr(f"floor(at / {wide})"), F.expr(f"floor(at / {wide}) + 1"))).alias("cell"))
     bit = F.expr(f"shiftleft(1L, cast((rank - 1) * {2 * wide} + at - (cell - 1) * {wide} as int))")
@@ -133,11 +160,8 @@ def proximity_matches(docs: DataFrame, wins: DataFrame, slop: int = 2, terms: in
     some = g.filter(F.expr(f"{' + '.join(f'int(({m}) <> 0)' for m in ranks)} >= need"))
     at = F.expr(f"transform(filter(sequence({-slop}, {2 * wide - 1 + slop}), j -> {agree} >= need), j -> cast((cell - 1) * {wide} + j as int))")
     found = cut(some.select("doc_id", "h", "window", F.explode(at).alias("start")).distinct())
-    wanted = found.join(_sized(wins.select("window", "words"), rows), "window").select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "window", "words", "start")
-    starts = wanted.groupBy("d2", "h2").agg(F.collect_set(F.struct("start", "window", "words")).alias("c"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
-    joined = texts.join(starts, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
-    each = joined.select("doc_id", "h", F.explode(F.transform("c", lambda x: _placed(x, slop))).alias("x")).select("doc_id", "h", "x.*").distinct()
+    joined = _beside_texts(docs, found, wins)
+    each = joined.select("doc_id", "h", F.explode_outer(F.transform("c", lambda x: _placed(x, slop))).alias("x")).select("doc_id", "h", "x.*").distinct()
     good = each.filter("words_near >= len - edits")
     by = Window.partitionBy("doc_id", "h", "window").orderBy("start").rangeBetween(-slop, slop)
     return good.withColumn("most", F.max(F.struct("words_near", "exact")).over(by)).filter("most = struct(words_near, exact)").select("doc_id", "h", "window", "start", "words_near")
@@ -170,16 +194,17 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     there are no items, have zeros and the hash of the empty string. Repeated rows keep one row each.
     """
     wins = cut(windows(items, size))
-    m = cut(phrase_matches(docs, wins))
+    index = postings(docs, wins)
+    m = cut(phrase_matches(docs, wins, index))
     w = Window.partitionBy("doc_id", "h").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
     spans = m.groupBy("doc_id", "h", "start").agg(F.max("len").alias("len"))
-    fresh = spans.withColumn("done", F.coalesce(F.max(end).over(w), F.lit(0)))
-    hits = fresh.groupBy("doc_id", "h").agg(F.sum(F.greatest(end - F.greatest("start", "done"), F.lit(0))).alias("n_hit"))
+    new = spans.withColumn("done", F.coalesce(F.max(end).over(w), F.lit(0)))
+    hits = new.groupBy("doc_id", "h").agg(F.sum(F.greatest(end - F.greatest("start", "done"), F.lit(0))).alias("n_hit"))
     names = m.select("doc_id", "h", "window").distinct().join(wins.select("window", F.explode("item_ids").alias("item_id")), "window")
     ids = names.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     found = hits.join(ids, hits.doc_id.eqNullSafe(ids.doc_id) & (hits.h == ids.h)).select(hits.doc_id.alias("d2"), hits.h.alias("h2"), "n_hit", "ids")
-    counted = keyed(docs).select("doc_id", "h", F.size("w").cast("bigint").alias("n_words"))
+    counted = index.filter("coalesce(pos, 0) = 0").select("doc_id", "h", F.col("n_words").cast("bigint").alias("n_words"))
     out = counted.join(found, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
     ids_text = F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ",")
     n = F.coalesce("n_hit", F.lit(0)).cast("bigint")
@@ -195,10 +220,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """docs without the rows that hold an occurrence of a benchmark window."""
+    """docs without the rows that hold an occurrence of a benchmark window. Further columns may have any name."""
     m = phrase_matches(docs.select("doc_id", "text"), cut(windows(items, size))).select("doc_id", "h").distinct()
-    m = m.withColumnsRenamed({"doc_id": "_d", "h": "_h"})
-    return docs.join(m, docs.doc_id.cast("bigint").eqNullSafe(F.col("_d")) & (F.xxhash64(docs.text) == F.col("_h")), "left_anti")
+    d, h = fresh(docs, "d"), fresh(docs, "h")
+    m = m.withColumnsRenamed({"doc_id": d, "h": h})
+    return docs.join(m, F.col("doc_id").cast("bigint").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
