@@ -12,13 +12,15 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, table
+from .common import documents, map_rows, slices, table
 
 SAMPLE = 6000
 WORD_SPACE = 1 << 14
@@ -38,7 +40,9 @@ WORDS_AT = STATS * BINS + SHAPE_SPACE
 SIZE = WORDS_AT + WORD_SPACE
 RUNS = re.compile(r"(.)\1+")
 SHAPE = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "123456789"}})
-CACHE = 200_000
+CACHE = 100_000
+#: Features are held of so many rows, or bytes of text, at a time.
+ROWS, TEXT_BYTES = 256, 1 << 20
 
 
 @dataclass
@@ -131,6 +135,14 @@ def score(m: Machine, rows: list[tuple[list[int], list[float]]]) -> np.ndarray:
     return np.concatenate(out)
 
 
+def scores(m: Machine, texts: pa.Array, cache: dict[str, tuple[int, int]]) -> np.ndarray:
+    """score() of a column of texts; the features of one slice are gone before those of the next are made."""
+    out = [np.zeros(0)]
+    for s in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), TEXT_BYTES, ROWS):
+        out.append(score(m, [features(t, cache) for t in s.column(0).to_pylist()]))
+    return np.concatenate(out)
+
+
 def train(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, seed: int = 7) -> Machine:
     """Adagrad over mini-batches of the log loss. Without rows of both labels the score is the smoothed label share."""
     rng = np.random.default_rng(seed)
@@ -194,12 +206,13 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     handle = docs.sparkSession.sparkContext.broadcast(machine)
     cache: dict[str, tuple[int, int]] = {}
 
-    def run(c: dict[str, list]) -> dict[str, list]:
-        s = score(handle.value, [features(t, cache) for t in c["text"]])
-        return {"doc_id": c["doc_id"], "held_out": c["held_out"], "score": s.tolist(), "predicted": (s >= THRESHOLD).astype(int).tolist()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = scores(handle.value, b.column("text"), cache)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold(F.col("doc_id").cast("bigint")) == HELD_OUT).alias("held_out"), "text")
-    return map_rows(d, "doc_id bigint, held_out boolean, score double, predicted int", run)
+    return d.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -207,13 +220,9 @@ def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
     handle = docs.sparkSession.sparkContext.broadcast(machine)
     cache: dict[str, tuple[int, int]] = {}
 
-    def run(batches):
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                t = b.column(b.schema.get_field_index("text")).to_pylist()
-                yield b.filter(pa.array(score(handle.value, [features(x, cache) for x in t]) >= THRESHOLD))
+            yield b.filter(pa.array(scores(handle.value, b.column(b.schema.get_field_index("text")), cache) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
