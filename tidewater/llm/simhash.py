@@ -123,7 +123,9 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    v = variants(fps.select("fp"), bits)
+    # spread before every row becomes 64
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = variants(fps.select("fp").repartition(parts, "fp"), bits)
     return v.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -150,11 +152,13 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS) -> D
     The decision is made on ids and hashes; texts are moved once, to the join.
     """
     n = near_duplicates(docs.select("doc_id", "text"), shingle, bits)
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "doc_id", "h")).alias("s")
-    stay = n.groupBy("fp_component").agg(first).select(F.col("s.doc_id").alias("_id"), F.col("s.h").alias("_h"))
-    kept = docs.withColumn("_t", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")))
-    w = Window.partitionBy("_id", "_h").orderBy("_id")
-    return kept.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*docs.columns)
+    last = F.lit((1 << 63) - 1)
+    first = F.min(F.struct(F.coalesce("doc_id", last).alias("o"), F.col("doc_id").isNull().alias("z"), "h")).alias("s")
+    stay = n.groupBy("fp_component").agg(first).select("s.o", "s.z", "s.h")
+    # rows travel as one struct, so that further columns may have any name; the window needs no shuffle of its own
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), last).alias("o"), F.col("doc_id").isNull().alias("z"), F.xxhash64("text").alias("h"))
+    w = Window.partitionBy("o", "z", "h").orderBy("o")
+    return rows.join(stay, ["o", "z", "h"]).withColumn("r", F.row_number().over(w)).filter("r = 1").select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
