@@ -4,8 +4,8 @@ Items are vectors of (bytes, tokens, rows) in shares of the whole. In descending
 largest share, each goes to the shard where the dot product with the residual capacity is highest.
 
 An item is a group of equal texts if the group is heavy (over 1/HEAVY of a total); all other groups are
-gathered by hash into a fixed number of cells. Only a group of more than half a shard is cut, into a multiple
-of the shard count, so that its pieces spread evenly. At most 3 * HEAVY groups are heavy and at most 6 * shards
+gathered by hash into a fixed number of cells. Only a group of more than a whole shard is cut, into a multiple
+of the shard count, so that its pieces spread evenly. At most 3 * HEAVY groups are heavy and at most 3 * shards
 of them are cut, so the item table, which the driver packs and broadcasts, has a bound whatever the corpus.
 """
 
@@ -22,6 +22,8 @@ CELLS = 1 << 13
 #: A group of equal texts with more than 1/HEAVY of the bytes, tokens or rows is an item of its own.
 HEAVY = 1 << 11
 ROW_BYTES = 16
+#: Rows of one item that are numbered in one piece; larger items are numbered in blocks.
+SLOT_ROWS = 1 << 16
 DIMS = ("bytes", "tokens", "rows")
 #: Bytes weigh double, since the law that is promised is theirs.
 WEIGHTS = (2.0, 1.0, 1.0)
@@ -33,12 +35,12 @@ def measured(docs: DataFrame) -> DataFrame:
     tokens counts words between white space. A NULL text has no bytes, no tokens and no checksum.
     """
     t = F.col("text")
-    words = F.when(F.trim(t) == "", F.lit(0)).otherwise(F.size(F.split(t, r"\s+")))
+    words = F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.coalesce(F.octet_length(t), F.lit(0)) + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
-        F.coalesce(words, F.lit(0)).cast("bigint").alias("tokens"),
+        F.when(t.isNull(), 0).otherwise(words).cast("bigint").alias("tokens"),
         F.xxhash64(t).alias("g"),
     )
 
@@ -99,12 +101,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs (doc_id, text).
 
     law is `bytes`. Equal texts share a shard unless their group was cut. Rows keep one row each, repeated ones too;
-    slot counts from 0 in each shard without gaps, by item and then doc_id. An empty table gives no rows.
+    slot counts from 0 in each shard without gaps, by item, block and then doc_id. An empty table gives no rows.
     """
     spark = docs.sparkSession
     m = cut(measured(docs))
     total = m.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
-    schema = "item bigint, shard int, first bigint"
+    schema = "item bigint, shard int, first bigint, blocks bigint"
     if not total[2]:
         placed = spark.createDataFrame([], schema)
         heavy = spark.createDataFrame([], "g bigint, pieces bigint, at bigint")
@@ -112,7 +114,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         groups = m.groupBy("g").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
         share = F.greatest(*(F.col(c) / F.lit(float(max(1, total[i]))) for i, c in enumerate("btr")))
         one = F.col("r") == 1  # a single row is not cut
-        rows = groups.withColumn("s", share).filter(F.col("s") * HEAVY > 1).select("g", F.when(one | (F.col("s") * 2 * shards <= 1), 1).otherwise(F.ceil(F.col("s") * 2) * shards).cast("bigint").alias("p")).orderBy("g").collect()
+        rows = groups.withColumn("s", share).filter(F.col("s") * HEAVY > 1).select("g", F.when(one | (F.col("s") * shards <= 1), 1).otherwise(F.ceil(F.col("s") * 2) * shards).cast("bigint").alias("p")).orderBy("g").collect()
         ends = np.cumsum([r.p for r in rows]) if rows else np.zeros(0, dtype=np.int64)
         heavy = spark.createDataFrame([(r.g, r.p, CELLS + int(e) - r.p) for r, e in zip(rows, ends, strict=True)], "g bigint, pieces bigint, at bigint")
     light = F.pmod("g", F.lit(CELLS))
@@ -125,11 +127,15 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         for i, r in enumerate(sums):
             first[i] = at[to[i]]
             at[to[i]] += r.rows
-        placed = spark.createDataFrame([(r.item, int(s), int(f)) for r, s, f in zip(sums, to, first, strict=True)], schema)
-    w = Window.partitionBy("item").orderBy("doc_id", "text_crc32", "size")
+        placed = spark.createDataFrame([(r.item, int(s), int(f), -(-r.rows // SLOT_ROWS)) for r, s, f in zip(sums, to, first, strict=True)], schema)
+    m = m.join(F.broadcast(placed), "item").withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.col("blocks")))
+    upto = Window.partitionBy("item").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = m.filter("blocks > 1").groupBy("item", "block").agg(F.count("*").alias("n"))
+    before = counts.select("item", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    w = Window.partitionBy("item", "block").orderBy("doc_id", "text_crc32", "size")
     return (
-        m.join(F.broadcast(placed), "item")
-        .withColumn("slot", F.col("first") + F.row_number().over(w) - 1)
+        m.join(before, ["item", "block"], "left")
+        .withColumn("slot", F.col("first") + F.coalesce("before", F.lit(0)) + F.row_number().over(w) - 1)
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
     )
 
