@@ -6,6 +6,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+import sentencepiece
 import xxhash
 
 import corpus_pipeline
@@ -154,33 +155,62 @@ def test_pages_of_the_table(spark, sf):
     assert {x.page_id: x.text for x in r} == {k: plain(h) for k, h in pages.items()}
 
 
-def test_scan_equals_whole_path(monkeypatch):
-    monkeypatch.setattr(pieces, "CHUNK", 40)
-    p = pieces.Pieces(pieces.model_bytes())
+def library():
+    return sentencepiece.SentencePieceProcessor(model_proto=pieces.model_bytes())
+
+
+def ids(packed):
+    return np.frombuffer(packed, dtype=np.int32).tolist()
+
+
+def test_scan_equals_the_library():
+    p, sp = pieces.Pieces(pieces.model_bytes()), library()
     rng = random.Random(1)
     for k in range(150):
-        s = "".join(rng.choice("abcdeé漢 \n▁tiontheing" if k % 3 else "tionhe") for _ in range(rng.randrange(1, 400)))
-        parts = pieces.chunks(" " + s, p.width)
-        mats = [p.matrix(b, n) for b, n in parts]
-        states, score = pieces.boundary_states(mats)
-        n = len(s) + 1
-        best = [0] + [None] * n  # every arc, in the plainest way
-        for i in range(n):
-            for e, _, v in p.arcs(" " + s, i):
-                best[e] = best[i] + v if best[e] is None else max(best[e], best[i] + v)
-        assert score == best[n]
-        ids = b"".join(p.trace(b, m, i, j) for (b, m), (i, j) in zip(parts, states, strict=True))
-        assert p.decode(np.frombuffer(ids, dtype=np.int32).tolist()) == s == p.decode(np.frombuffer(p.encode(s), dtype=np.int32).tolist())
+        s = "".join(rng.choice("abcdeé漢 \ntiontheing" if k % 3 else "tionhe" if k % 2 else " a") for _ in range(rng.randrange(1, 400)))
+        parts = pieces.chunks(" " + s, p.width, 40)
+        mats = [p.matrix(*x) for x in parts]
+        states = pieces.boundary_states(mats)
+        got = b"".join(p.trace(*x, i, j) for x, (i, j) in zip(parts, states, strict=True))
+        assert ids(got) == sp.encode(s) == ids(p.encode(s)) and p.decode(ids(got)) == s
         if len(mats) > 2:
             a = pieces.plus(pieces.plus(mats[0], mats[1]), mats[2])
             assert (a == pieces.plus(mats[0], pieces.plus(mats[1], mats[2]))).all()
+            assert pieces.boundary_states([pieces.product(mats[:2]), *mats[2:]])[1:] == states[2:]
+        assert (pieces.product(mats) == 0).sum() == 1  # one path alone
 
 
-def test_many_stretches_equal_one_by_one():
-    p = pieces.Pieces(pieces.model_bytes())
+def test_stretches_equal_the_library():
+    p, sp = pieces.Pieces(pieces.model_bytes()), library()
     rng = random.Random(2)
-    words = [" " * rng.randrange(3) + "".join(rng.choice("abthiecnogré漢☃") for _ in range(rng.randrange(1, 30))) for _ in range(500)] + ["\n", " ", "   "]
-    assert p.solve_many(words) == [p.solve(w, 0, len(w), len(w)) for w in words]
+    words = list({" " + " " * rng.randrange(4) + "".join(rng.choice("abthiecnogré漢☃") for _ in range(rng.randrange(1, 30))) for _ in range(500)} | {"\n", "  ", "   "})
+    for w, got in zip(words, p.solve_many(words), strict=True):
+        assert got == p.solve(w) and (ids(got) == sp.encode(w[1:]) if w[0] == " " else ids(got) == sp.encode(w)[1:])
+
+
+def test_neighbours_that_fit_make_the_encoding():
+    p, sp = pieces.Pieces(pieces.model_bytes()), library()
+    rng = random.Random(3)
+    for _ in range(300):
+        s = " " + "".join(rng.choice("aeinorst") for _ in range(rng.randrange(1, 12)))
+        paths = [()]  # every path whose neighbours fit, in the plainest way
+        out = []
+        while paths:
+            path = paths.pop()
+            at = sum(map(len, path))
+            if at == len(s):
+                out.append(path)
+            for e in p.ends(s, at) if at < len(s) else ():
+                if p.fits(path[-1] if path else "", s[at:e]):
+                    paths.append((*path, s[at:e]))
+        assert [[p.pieces[x][0] for x in path] for path in out] == [sp.encode(s[1:])]
+
+
+def test_every_text_of_the_table_has_the_ids_of_the_library(spark, sf_small):
+    docs = documents(spark, sf_small).collect()
+    want = {(r.doc_id, tuple(i)) for r, i in zip(docs, library().encode([r.text or "" for r in docs]), strict=True)}
+    r = pieces.op9_pieces(spark, sf_small).collect()
+    assert {(x.doc_id, tuple(x.ids)) for x in r} == want and all(x.round_trip for x in r)
 
 
 def test_pieces_odd_and_giant(spark, odd):
@@ -191,7 +221,8 @@ def test_pieces_odd_and_giant(spark, odd):
     assert sorted((str(x.doc_id), x.text) for x in pieces.decoded(e, m).collect()) == sorted((str(a), b or "") for a, b in ODD)
     text = "the tion " * 6000
     one = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    assert pieces.encoded(one, m).first().ids == pieces.encoded(one, m, giant=1 << 30).first().ids
+    assert pieces.encoded(one, m).first().ids == pieces.encoded(one, m, giant=1 << 30).first().ids == library().encode(text)
+    assert pieces.encoded(one, m, fan=3, size=64).first().ids == library().encode(text)  # matrices combined on several levels
     assert pieces.encoded(odd.limit(0), m).count() == 0
 
 

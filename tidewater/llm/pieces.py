@@ -1,26 +1,30 @@
 """SentencePiece encoding and decoding as a max-plus parallel scan.
 
-A text is cut into pieces of a vocabulary so that the sum of their scores is the largest: a longest path whose
-values combine with max and plus. Scores are kept as integers, so sums are exact however they are grouped.
-
-A giant document is split into chunks, which are rows of their own. A chunk's boundary state is by how many
-characters a piece reaches over its border; the chunk is worked into a matrix of the best sums from each entry
-state to each exit state. Matrices combine associatively under (max, +); the states on the best path are read off
-the combined prefixes, and each chunk is then traced back on its own between its two states.
-
-Where no piece can cross (before a space that follows another sign, and around a line break), all states but 0
-die. Stretches between such places are solved once and remembered, and a chunk's matrix is its head, the sum of
-the stretches, and its tail. A stretch without such a place is worked state by state.
+The vocabulary is one of merges: from single characters on, the neighbours whose joint piece scores best merge, the
+leftmost of equals first. A sequence of pieces is the result of these merges if and only if each piece by itself, and
+each two neighbours by themselves, merge to just what they are: until a first merge over a border, the pieces on its
+two sides take the same steps in the same order as they do alone. So the encoding is a path over pieces whose
+neighbours fit, with value 0 for a pair that fits and minus infinity for one that does not, and it is the only path
+above minus infinity: the encoding of every beginning of a text ends in one piece only.
+
+A giant document is split into chunks, which are rows of their own. The states at a border are the pieces of the
+vocabulary that begin before it and end at or after it in the text. A chunk is worked into the matrix from each state
+at its begin to each state at its end. Matrices combine associatively under (max, +), in a tree of groups; the states
+on the path are read off the combined matrices from the top down, and each chunk is then traced back on its own
+between its two states.
+
+No piece crosses the place before a space that follows another sign, or around a line break. Stretches between such
+places are solved once and remembered; a chunk's matrix is then that of its head and its tail.
 
 Spaces take the place of the vocabulary's word mark, and a text gets one in front. A character that the
-vocabulary lacks becomes its UTF-8 bytes, the word mark itself too, so decoding gives back every text exactly.
+vocabulary lacks becomes its UTF-8 bytes. So does the word mark itself, where the library would take it for a space:
+decoding gives back every text exactly, and every text without a word mark has the ids of the library.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +33,23 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, slices
 
 MARK = "▁"
-SCALE = 10_000
 #: Texts of more characters are split into chunks and spread over tasks.
 GIANT = 1 << 15
 CHUNK = 1 << 13
+#: Chunk matrices of one document that are combined at a time.
+FAN = 256
 NONE = -(1 << 62)
 #: Stretches of up to so many characters are remembered, CACHE of them a worker.
 REMEMBERED = 64
 CACHE = 500_000
+#: Places for pairs of pieces and whether they fit; a newer pair takes an older one's place.
+PAIRS = 1 << 21
+HARD = re.compile(r"(?<=[^ ]) |(?<=\n).|\n", re.S)  # where no piece can cross
 STRETCH = re.compile(r" *[^ \n]+|\n| +")
-UNKNOWN_PENALTY = 10
+START = -1  # stands for the piece before a text or stretch, which fits to any that merges to itself
 
 
 def default_model() -> str:
@@ -56,14 +64,14 @@ def model_bytes(path: str | None = None) -> bytes:
 
 
 class Pieces:
-    """A vocabulary read for max-plus encoding. Built once a worker from the model's bytes."""
+    """A vocabulary read for encoding. Built once a worker from the model's bytes."""
 
     def __init__(self, model: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.pieces: dict[str, tuple[int, int]] = {}
+        self.pieces: dict[str, tuple[int, float]] = {}
         self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
-        low = 0
+        self.text_of: dict[int, str] = {}
         for i in range(sp.vocab_size()):
             p = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -73,25 +81,26 @@ class Pieces:
                 self.bytes_of.append(b"")
             else:
                 p = p.replace(MARK, " ")
-                self.pieces[p] = (i, round(sp.get_score(i) * SCALE))
+                self.pieces[p] = (i, sp.get_score(i))
+                self.text_of[i] = p
                 self.bytes_of.append(p.encode())
-                low = min(low, self.pieces[p][1])
         if 0 in self.byte_ids[1:]:
             raise ValueError("the vocabulary has no byte pieces; unknown characters could not be decoded")
         if any(re.search(r"[^ ] |\n.|.\n", p, re.S) for p in self.pieces):
             raise ValueError("the vocabulary has pieces across word starts or line breaks")
-        #: every beginning of a piece; None if it is no piece itself
-        self.begins: dict[str, tuple[int, int] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
+        self.first = len(self.bytes_of)  # the id that START has in pairs
+        self.begins: set[str] = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.width = max(map(len, self.pieces), default=1)
-        self.unknown = low - UNKNOWN_PENALTY * SCALE
         self.ids_of: dict[str, bytes] = {}
-        self.score_of: dict[str, int] = {}
+        self.fit: dict[tuple[str, str], bool] = {}
+        self.memo = np.full(PAIRS, -1, dtype=np.int64)
         self._trie()
 
     def _trie(self) -> None:
         """The pieces as a trie whose edges (node, character) lie in an open-addressed table, for look-ups of whole arrays."""
-        number = {"": 0} | {b: i + 1 for i, b in enumerate(self.begins)}
-        keys = np.array([(number[b[:-1]] << 21) + ord(b[-1]) for b in self.begins], dtype=np.uint64)
+        names = sorted(self.begins, key=len)
+        number = {"": 0} | {b: i + 1 for i, b in enumerate(names)}
+        keys = np.array([(number[b[:-1]] << 21) + ord(b[-1]) for b in names], dtype=np.uint64)
         self.mask = (1 << (4 * len(keys)).bit_length()) - 1
         self.edge_key = np.full(self.mask + 1, (1 << 64) - 1, dtype=np.uint64)
         self.edge_to = np.zeros(self.mask + 1, dtype=np.int64)
@@ -99,8 +108,7 @@ class Pieces:
             while self.edge_key[h] != (1 << 64) - 1:
                 h = (h + 1) & self.mask
             self.edge_key[h], self.edge_to[h] = k, to
-        self.node_id = np.array([-1] + [-1 if x is None else x[0] for x in self.begins.values()], dtype=np.int64)
-        self.node_score = np.array([0] + [0 if x is None else x[1] for x in self.begins.values()], dtype=np.int64)
+        self.node_id = np.array([-1] + [self.pieces[b][0] if b in self.pieces else -1 for b in names], dtype=np.int64)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
@@ -109,72 +117,110 @@ class Pieces:
         """The child of each node by a character; 0 if there is none."""
         key = (node.astype(np.uint64) << np.uint64(21)) + char
         h = self._slot(key)
-        out = np.zeros(len(key), dtype=np.int64)
-        open_ = np.arange(len(key))
+        found = self.edge_key[h]
+        out = np.where(found == key, self.edge_to[h], 0)
+        open_ = np.flatnonzero((found != key) & (found != np.uint64((1 << 64) - 1)))
         while len(open_):
+            h[open_] = (h[open_] + 1) & self.mask
             found = self.edge_key[h[open_]]
             hit = found == key[open_]
             out[open_[hit]] = self.edge_to[h[open_[hit]]]
             open_ = open_[~hit & (found != np.uint64((1 << 64) - 1))]
-            h[open_] = (h[open_] + 1) & self.mask
         return out
 
-    def solve_many(self, words: list[str]) -> list[tuple[bytes, int]]:
-        """solve() for many stretches at once: the same relaxations in the same order, place by place over all words."""
+    def fits(self, a: str, b: str) -> bool:
+        """Whether the merges of a and b, written together, end in just the two; a is empty at the start."""
+        if a and a + b in self.pieces:
+            return False
+        part, border, get = list(a + b), len(a), self.pieces.get
+        while len(part) > 1:
+            best, at = None, -1
+            for i in range(len(part) - 1):
+                p = get(part[i] + part[i + 1])
+                if p and (best is None or p[1] > best):
+                    best, at = p[1], i
+            if best is None:
+                break
+            if at == border - 1:
+                return False
+            part[at : at + 2] = [part[at] + part[at + 1]]
+            border -= at < border
+        return part == ([a, b] if a else [b])
+
+    def fitting(self, key: np.ndarray) -> np.ndarray:
+        """fits() of many pairs, each as its first id times the number of ids and one, plus its second id."""
+        h = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (PAIRS - 1)
+        found = self.memo[h]
+        out = (found & 1).astype(bool)
+        miss = np.flatnonzero(found >> 1 != key)
+        if len(miss):
+            new, back = np.unique(key[miss], return_inverse=True)
+            text, n = self.text_of, self.first + 1
+            ok = np.fromiter((self.fits(text.get(k // n, ""), text[k % n]) for k in new.tolist()), np.int64, len(new))
+            out[miss] = ok[back] > 0
+            self.memo[h[miss]] = (key[miss] << 1) + ok[back]
+        return out
+
+    def solve_many(self, words: list[str]) -> list[bytes]:
+        """solve() for many stretches at once, place by place over all words."""
         words_at = sorted(range(len(words)), key=lambda i: -len(words[i]))
         size = np.array([len(words[i]) for i in words_at], dtype=np.int64)
         flat = np.frombuffer("".join(words[i] for i in words_at).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         begin = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(size)), size)
         end = np.repeat(begin + size, size)
-        arcs = []  # by length: (id, score) of each place; id -2 for no piece
+        found: list[tuple[np.ndarray, np.ndarray, int]] = []  # (places, ids, length) of the pieces in the words
         at, node = np.arange(len(flat)), np.zeros(len(flat), dtype=np.int64)
+        strange = np.zeros(len(size), dtype=bool)
         for d in range(self.width):
             node = self._child(node, flat[at + d])
-            ids, score = np.full(len(flat), -2, dtype=np.int64), np.full(len(flat), NONE, dtype=np.int64)
-            real = self.node_id[node] >= 0
-            ids[at[real]], score[at[real]] = self.node_id[node[real]], self.node_score[node[real]]
+            ids = self.node_id[node]
+            real = np.flatnonzero(ids >= 0)
+            found.append((at[real], ids[real], d + 1))
             if d == 0:
-                lone = ids == -2
-                ids[lone], score[lone] = -1, self.unknown
-            arcs.append((ids, score))
+                strange[word[ids < 0]] = True
             go = (node > 0) & (at + d + 1 < end[at])
             at, node = at[go], node[go]
             if not len(at):
                 break
+        place = np.concatenate([x for x, _, _ in found])
+        ids = np.concatenate([x for _, x, _ in found])
+        reach = np.repeat([d for _, _, d in found], [len(x) for x, _, _ in found])
+        step = (place - begin[word[place]]).astype(np.int16 if len(size) and size[0] < 1 << 15 else np.int64)
+        order = np.argsort(step, kind="stable")
+        bounds = np.searchsorted(step[order], np.arange(int(size[0]) + 1 if len(size) else 1))
         # place t of a word is kept at begin + t + its number: each word has one place more than characters
-        shift = np.arange(len(size))
-        best = np.full(len(flat) + len(size), NONE, dtype=np.int64)
-        back, by = np.zeros(len(best), dtype=np.int64), np.zeros(len(best), dtype=np.int64)
-        best[begin + shift] = 0
-        for t in range(int(size[0]) if len(size) else 0):
-            n = int(np.searchsorted(-size, -t, side="left"))  # words longer than t
-            p, q = begin[:n] + t, begin[:n] + shift[:n] + t
-            for d, (ids, score) in enumerate(arcs):
-                k = np.flatnonzero(ids[p] != -2)
-                if len(k):
-                    v, to = best[q[k]] + score[p[k]], q[k] + d + 1
-                    better = v > best[to]
-                    to = to[better]
-                    best[to], back[to], by[to] = v[better], q[k[better]], ids[p[k[better]]]
-        last = begin + shift + size
-        total = best[last]
-        steps, live, here = [], np.arange(len(size)), last.copy()
-        strange = np.zeros(len(size), dtype=bool)
+        place, ids, reach = (place + word[place])[order], ids[order], reach[order]
+        last = np.full(len(flat) + len(size), -1, dtype=np.int64)
+        back = np.zeros(len(last), dtype=np.int64)
+        number = np.arange(len(size))
+        last[begin + number] = self.first
+        for t in range(len(bounds) - 1):
+            x = slice(bounds[t], bounds[t + 1])
+            before = last[place[x]]
+            ok = np.flatnonzero(before >= 0)
+            ok = ok[self.fitting(before[ok] * (self.first + 1) + ids[x][ok])]
+            to = (place[x] + reach[x])[ok]
+            last[to], back[to] = ids[x][ok], reach[x][ok]
+        stop = begin + number
+        here, live = stop + size, number
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        strange |= last[here] < 0
+        live = live[~strange & (size > 0)]
         while len(live):
-            ids = by[here[live]]
-            strange[live[ids < 0]] = True
-            steps.append((live, ids))
-            here[live] = back[here[live]]
-            live = live[here[live] > begin[live] + shift[live]]
-        out: list[tuple[bytes, int]] = [(b"", 0)] * len(words)
+            steps.append((live, last[here[live]]))
+            here[live] -= back[here[live]]
+            live = live[here[live] > stop[live]]
+        out = [b""] * len(words)
         if steps:
-            word = np.concatenate([x for x, _ in steps])
-            order = np.lexsort((-np.repeat(np.arange(len(steps)), [len(x) for x, _ in steps]), word))
+            owner = np.concatenate([x for x, _ in steps])
+            order = np.lexsort((-np.repeat(np.arange(len(steps)), [len(x) for x, _ in steps]), owner))
             packed = np.concatenate([i for _, i in steps])[order].astype(np.int32).tobytes()
-            upto = np.cumsum(np.bincount(word, minlength=len(size))) * 4
-            for j, (i, e, f, v, odd) in enumerate(zip(words_at, upto.tolist(), [0, *upto[:-1].tolist()], total.tolist(), strange.tolist(), strict=True)):
-                w = words[i]
-                out[i] = self.solve(w, 0, len(w), len(w)) if odd else (packed[f:e], v)
+            upto = (np.cumsum(np.bincount(owner, minlength=len(size))) * 4).tolist()
+            for i, f, e in zip(words_at, [0, *upto[:-1]], upto, strict=True):
+                out[i] = packed[f:e]
+        for j in np.flatnonzero(strange).tolist():
+            out[words_at[j]] = self.solve(words[words_at[j]])
         return out
 
     def prepare(self, stretches: set[str]) -> None:
@@ -182,76 +228,77 @@ class Pieces:
         new = [x for x in stretches if x not in self.ids_of and len(x) <= REMEMBERED]
         if len(self.ids_of) + len(new) > CACHE:
             self.ids_of.clear()
-            self.score_of.clear()
             new = [x for x in stretches if len(x) <= REMEMBERED]
         for k in range(0, len(new), 1 << 14):
             part = new[k : k + (1 << 14)]
-            for x, (ids, score) in zip(part, self.solve_many(part), strict=True):
-                self.ids_of[x], self.score_of[x] = ids, score
-
-    def arcs(self, s: str, i: int) -> list[tuple[int, int | None, int]]:
-        """(end, piece id, score) of the pieces from place i, shortest first; id None for an unknown character."""
-        get, out = self.begins.get, []
-        for e in range(i + 1, min(len(s), i + self.width) + 1):
-            p = get(s[i:e], 0)
-            if p == 0:
+            self.ids_of.update(zip(part, self.solve_many(part), strict=True))
+
+    def ends(self, s: str, i: int) -> list[int]:
+        """Where the pieces from place i of s end, shortest first; a character that is no piece is taken as one."""
+        out = [i + 1]
+        for e in range(i + 2, min(len(s), i + self.width) + 1):
+            b = s[i:e]
+            if b not in self.begins:
                 break
-            if p:
-                out.append((e, p[0], p[1]))
-        if not out or out[0][0] != i + 1:
-            out.insert(0, (i + 1, None, self.unknown))
+            if b in self.pieces:
+                out.append(e)
         return out
 
-    def ids(self, s: str, path: list[tuple[int, int, int | None]]) -> bytes:
-        if all(k is not None for _, _, k in path):
-            return array("i", [k for _, _, k in path]).tobytes()
+    def follows(self, a: str, b: str) -> bool:
+        """fits(), remembered."""
+        ok = self.fit.get((a, b))
+        if ok is None:
+            if len(self.fit) >= CACHE:
+                self.fit.clear()
+            ok = self.fit[a, b] = self.fits(a, b)
+        return ok
+
+    def forward(self, s: str, entries: list[tuple[int, int]], stop: int) -> dict[int, dict[int, np.ndarray]]:
+        """By place, and by the begin of the piece that ends there: the values from each entry (begin, end), pieces beginning before stop.
+
+        A begin of START says that nothing stands before. Entries that come to the same piece go on as one.
+        """
+        at: dict[int, dict[int, np.ndarray]] = {}
+        for k, (a, e) in enumerate(entries):
+            at.setdefault(e, {}).setdefault(a, np.full(len(entries), NONE, dtype=np.int64))[k] = 0
+        for i in range(min((e for _, e in entries), default=stop), stop):
+            for a, row in at.get(i, {}).items():
+                before = "" if a == START else s[a:i]
+                for e in self.ends(s, i):
+                    if self.follows(before, s[i:e]):
+                        to = at.setdefault(e, {})
+                        to[i] = np.maximum(to[i], row) if i in to else row
+        return at
+
+    def solve(self, s: str, entry: tuple[int, int] = (START, 0), leave: tuple[int, int] | None = None) -> bytes:
+        """The ids of the pieces after entry up to leave, both (begin, end); without leave, to the end of s."""
+        stop = len(s) if leave is None else leave[1]
+        if entry[1] >= stop:
+            return b""
+        at = self.forward(s, [entry], stop if leave is None else leave[0] + 1)
         out: list[int] = []
-        for a, b, k in path:
-            out += [k] if k is not None else [self.byte_ids[x] for x in s[a:b].encode("utf-8", "surrogatepass")]
-        return np.array(out, dtype=np.int32).tobytes()
-
-    def solve(self, s: str, entry: int, stop: int, leave: int) -> tuple[bytes, int]:
-        """Ids and score of the best path from entry to leave over arcs that begin before stop; the longest last piece wins ties."""
-        get, width, unknown = self.begins.get, self.width, self.unknown
-        best = [NONE] * (leave + 1)
-        back: list[tuple[int, int | None]] = [(0, None)] * (leave + 1)
-        best[entry] = 0
-        for i in range(entry, min(stop, leave)):
-            v = best[i]
-            if v == NONE:
-                continue
-            e = i + 1
-            p = get(s[i:e], 0)
-            if not p:  # no piece of its own
-                if v + unknown > best[e]:
-                    best[e], back[e] = v + unknown, (i, None)
-            last = min(leave, i + width)
-            while p != 0:
-                if p is not None and v + p[1] > best[e]:
-                    best[e], back[e] = v + p[1], (i, p[0])
-                e += 1
-                if e > last:
-                    break
-                p = get(s[i:e], 0)
-        path, at = [], leave
-        while at > entry:
-            i, k = back[at]
-            path.append((i, at, k))
-            at = i
-        return self.ids(s, path[::-1]), best[leave]
-
-    def stretch(self, s: str) -> tuple[bytes, int]:
-        """Ids and score of a stretch that begins and ends where no piece can cross."""
+        e = stop
+        a = next(iter(at[e])) if leave is None else leave[0]
+        while True:
+            p = self.pieces.get(s[a:e])
+            out += [p[0]] if p else [self.byte_ids[x] for x in reversed(s[a:e].encode("utf-8", "surrogatepass"))]
+            if a <= entry[1]:
+                break
+            # of the pieces that end where this one begins, the one that it fits to
+            a, e = next(b for b in at[a] if self.follows("" if b == START else s[b:a], s[a:e])), a
+        return np.array(out[::-1], dtype=np.int32).tobytes()
+
+    def stretch(self, s: str) -> bytes:
+        """Ids of a stretch that begins and ends where no piece can cross."""
         x = self.ids_of.get(s)
         if x is not None:
-            return x, self.score_of[s]
-        return self.solve(s, 0, len(s), len(s)) if len(s) <= CHUNK else self._long(s)
+            return x
+        return self.solve(s) if len(s) <= CHUNK else self._long(s)
 
-    def _long(self, s: str) -> tuple[bytes, int]:
+    def _long(self, s: str) -> bytes:
         parts = chunks(s, self.width)
-        mats = [self.matrix(b, n) for b, n in parts]
-        states, score = boundary_states(mats)
-        return b"".join(self.trace(b, n, i, j) for (b, n), (i, j) in zip(parts, states, strict=True)), score
+        states = boundary_states([self.matrix(*p) for p in parts])
+        return b"".join(self.trace(*p, i, j) for p, (i, j) in zip(parts, states, strict=True))
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         cut = [STRETCH.findall(" " + t) if t else [] for t in texts]
@@ -261,110 +308,118 @@ class Pieces:
             try:
                 out.append(b"".join(map(self.ids_of.__getitem__, c)))
             except KeyError:  # a stretch too long to be remembered
-                out.append(b"".join([self.stretch(x)[0] for x in c]))
+                out.append(b"".join([self.stretch(x) for x in c]))
         return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
-    @staticmethod
-    def cuts(s: str, n: int) -> tuple[int, int] | None:
-        """The first and the last place inside the n characters of a chunk that no piece can cross."""
-        first = re.compile(r"(?<=[^ ]) |(?<=\n).|\n").search(s, 1, n)
+    def states(self, s: str, border: int) -> list[tuple[int, int]]:
+        """(begin, end) of the pieces that begin before a border of s and end at or after it."""
+        return [(a, e) for a in range(max(0, border - self.width), border) for e in self.ends(s, a) if e >= border]
+
+    def cuts(self, s: str, left: int, right: int) -> tuple[int, int] | None:
+        """The first and the last place inside a chunk that no piece can cross, both beyond what reaches in."""
+        low = left + (self.width if left else 1)
+        first = HARD.search(s, low, right)
         if not first:
             return None
-        last = max(s.rfind("\n", 0, n - 1) + 1, s.rfind("\n", 1, n))
-        k = s.rfind(" ", 1, n)
-        while k > 0:
+        last = max(s.rfind("\n", low - 1, right - 1) + 1, s.rfind("\n", low, right))
+        k = s.rfind(" ", low, right)
+        while k >= low:
             if s[k - 1] != " ":
                 last = max(last, k)
                 break
-            k = s.rfind(" ", 1, k)
+            k = s.rfind(" ", low, k)
         return first.start(), max(last, first.start())
 
-    def matrix(self, s: str, n: int) -> np.ndarray:
-        """(entry, exit) best sums of a chunk of n characters followed in s by what its last pieces may reach into."""
-        w = self.width
-        c = self.cuts(s, n)
-        out = np.full((w, w), NONE, dtype=np.int64)
+    def matrix(self, s: str, left: int, n: int) -> np.ndarray:
+        """(states at begin, states at end) of a chunk of n characters from place left of s; around them stands what pieces may reach."""
+        right = left + n
+        entries = self.states(s, left) if left else [(START, 0)]
+        exits = self.states(s, right)
+        c = self.cuts(s, left, right)
         if c is None:
-            rows = np.full((n + w, w), NONE, dtype=np.int64)
-            for i in range(min(w, n + w)):
-                rows[i, i] = 0
-            for i in range(n):
-                if (rows[i] > NONE).any():
-                    for e, _, v in self.arcs(s, i):
-                        np.maximum(rows[e], np.where(rows[i] > NONE, rows[i] + v, NONE), out=rows[e])
-            return rows[n : n + w].T.copy()
-        head = self._entries(s, c[0])
-        inner = STRETCH.findall(s[c[0] : c[1]])
-        self.prepare(set(inner))
-        mid = sum(self.stretch(x)[1] for x in inner)
-        tail = self._exits(s, c[1], n)
-        ok = np.ix_(head > NONE, tail > NONE)
-        out[ok] = head[head > NONE][:, None] + mid + tail[tail > NONE][None, :]
+            return self._between(s, entries, right, exits)
+        at = self.forward(s, entries, c[0]).get(c[0], {})
+        head = np.max([np.full(len(entries), NONE, dtype=np.int64), *at.values()], axis=0)
+        tail = self._between(s[c[1] :], [(START, 0)], right - c[1], [(a - c[1], e - c[1]) if a >= c[1] else None for a, e in exits])
+        return plus(head[:, None], tail)
+
+    def _between(self, s: str, entries: list[tuple[int, int]], right: int, exits: list[tuple[int, int] | None]) -> np.ndarray:
+        at = self.forward(s, entries, right)
+        out = np.full((len(entries), len(exits)), NONE, dtype=np.int64)
+        for j, x in enumerate(exits):
+            row = at.get(x[1], {}).get(x[0]) if x else None
+            if row is not None:
+                out[:, j] = row
         return out
 
-    def _entries(self, s: str, stop: int) -> np.ndarray:
-        """Best sums from each entry state to a place that no piece crosses: one sweep backwards."""
-        best = np.full(stop + 1, NONE, dtype=np.int64)
-        best[stop] = 0
-        for i in range(stop - 1, -1, -1):
-            best[i] = max((v + int(best[e]) for e, _, v in self.arcs(s, i) if e <= stop and best[e] > NONE), default=NONE)
-        out = np.full(self.width, NONE, dtype=np.int64)
-        k = min(self.width, stop + 1)
-        out[:k] = best[:k]
-        return out
-
-    def _exits(self, s: str, start: int, n: int) -> np.ndarray:
-        best = np.full(n + self.width + 1, NONE, dtype=np.int64)
-        best[start] = 0
-        for i in range(start, n):
-            if best[i] > NONE:
-                for e, _, v in self.arcs(s, i):
-                    best[e] = max(best[e], best[i] + v)
-        return best[n : n + self.width]
-
-    def trace(self, s: str, n: int, i: int, j: int) -> bytes:
-        """The ids of a chunk between entry state i and exit state j."""
-        c = self.cuts(s, n)
+    def trace(self, s: str, left: int, n: int, i: int, j: int) -> bytes:
+        """The ids of a chunk after state i at its begin, up to and with state j at its end."""
+        right = left + n
+        entry = self.states(s, left)[i] if left else (START, 0)
+        leave = self.states(s, right)[j]
+        c = self.cuts(s, left, right)
         if c is None:
-            return self.solve(s, i, n, n + j)[0] if i < n + j else b""
+            return self.solve(s, entry, leave)
         inner = STRETCH.findall(s[c[0] : c[1]])
         self.prepare(set(inner))
-        mid = [self.stretch(x)[0] for x in inner]
-        head = self.solve(s, i, c[0], c[0])[0] if i < c[0] else b""
-        return b"".join([head, *mid, self.solve(s, c[1], n, n + j)[0]])
+        mid = [self.stretch(x) for x in inner]
+        return b"".join([self.solve(s[: c[0]], entry), *mid, self.solve(s[c[1] :], (START, 0), (leave[0] - c[1], leave[1] - c[1]))])
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-def chunks(s: str, width: int) -> list[tuple[str, int]]:
-    """(chunk with its look-ahead, characters that are its own)."""
-    return [(s[k : k + CHUNK + width], min(CHUNK, len(s) - k)) for k in range(0, len(s), CHUNK)]
+def chunks(s: str, width: int, size: int = 0) -> list[tuple[str, int, int]]:
+    """(chunk with what stands around it, where it begins in that, characters that are its own); none is shorter than two pieces."""
+    size = max(size or CHUNK, 2 * width)
+    starts = [k for k in range(0, len(s), size) if k == 0 or len(s) - k >= 2 * width]
+    ends = [*starts[1:], len(s)]
+    return [(s[max(0, k - width) : e + width], min(k, width), e - k) for k, e in zip(starts, ends, strict=True)]
 
 
 def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The max-plus product of two matrices, or of a row and a matrix."""
-    x = a[..., :, None] + b
-    return np.where((a[..., :, None] > NONE) & (b > NONE), x, NONE).max(-2)
+    """The max-plus product of two matrices."""
+    if not a.shape[1]:
+        return np.full((a.shape[0], b.shape[1]), NONE, dtype=np.int64)
+    x = a[:, :, None] + b[None]
+    return np.where((a[:, :, None] > NONE) & (b[None] > NONE), x, NONE).max(1)
+
+
+def product(mats: list[np.ndarray]) -> np.ndarray:
+    out = mats[0]
+    for m in mats[1:]:
+        out = plus(out, m)
+    return out
 
 
-def boundary_states(mats: list[np.ndarray]) -> tuple[list[tuple[int, int]], int]:
-    """Entry and exit state of each chunk on the best path from 0 to 0, and its score; the least state on ties."""
-    row = np.full(len(mats[0]), NONE, dtype=np.int64)
-    row[0] = 0
+def boundary_states(mats: list[np.ndarray], entry: int = 0, leave: int | None = None) -> list[tuple[int, int]]:
+    """Entry and exit state of each chunk on the best path from entry to leave; the least state on ties.
+
+    Without leave, to the best state at the end.
+    """
+    row = np.full((1, mats[0].shape[0]), NONE, dtype=np.int64)
+    row[0, entry] = 0
     rows = [row]
     for m in mats:
         rows.append(plus(rows[-1], m))
-    score, j, out = int(rows[-1][0]), 0, []
+    j, out = int(rows[-1][0].argmax()) if leave is None else leave, []
     for k in range(len(mats) - 1, -1, -1):
         col = mats[k][:, j]
-        i = int(np.where((rows[k] > NONE) & (col > NONE), rows[k] + col, NONE).argmax())
+        i = int(np.where((rows[k][0] > NONE) & (col > NONE), rows[k][0] + col, NONE).argmax())
         out.append((i, j))
         j = i
-    return out[::-1], score
+    return out[::-1]
+
+
+def pack(m: np.ndarray) -> bytes:
+    return np.int32(m.shape[0]).tobytes() + m.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, dtype=np.int64, offset=4).reshape(int(np.frombuffer(b, dtype=np.int32, count=1)[0]), -1)
 
 
 def _lists(rows: list[bytes]) -> pa.Array:
@@ -387,46 +442,65 @@ class _Worker:
         return self.made
 
 
-def _giants(docs: DataFrame, worker: _Worker) -> DataFrame:
+def _giants(docs: DataFrame, worker: _Worker, fan: int = FAN, size: int = 0) -> DataFrame:
     """(doc_id, h, ids) of distinct giant texts, chunk by chunk."""
+    key = "doc_id bigint, h bigint"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = worker().width
         for b in batches:
-            for d, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                parts = chunks(" " + t, w)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([d] * len(parts), pa.int64()), pa.array([h] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array([p for p, _ in parts]), pa.array([n for _, n in parts], pa.int32())],
-                    names=["doc_id", "h", "k", "part", "n"],
-                )
+            for one in slices(b):
+                for d, h, t in zip(*(c.to_pylist() for c in one.columns), strict=True):
+                    parts = chunks(" " + t, w, size)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([d] * len(parts), pa.int64()), pa.array([h] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array([p for p, _, _ in parts]), pa.array([x for _, x, _ in parts], pa.int32()), pa.array([n for _, _, n in parts], pa.int32())],
+                        names=["doc_id", "h", "k", "part", "lead", "n"],
+                    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = [worker().matrix(p, n).tobytes() for p, n in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), strict=True)]
+            m = [pack(worker().matrix(p, x, n)) for p, x, n in zip(*(b.column(c).to_pylist() for c in ("part", "lead", "n")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("k"), pa.array(m, pa.binary())], names=["doc_id", "h", "k", "m"])
 
-    def join(t: pa.Table) -> pa.Table:
+    def combine(t: pa.Table) -> pa.Table:
         t = t.sort_by("k")
-        w = worker().width
-        states, _ = boundary_states([np.frombuffer(m, dtype=np.int64).reshape(w, w) for m in t.column("m").to_pylist()])
-        return pa.table({"doc_id": t.column("doc_id"), "h": t.column("h"), "k": t.column("k"), "i": pa.array([i for i, _ in states], pa.int32()), "j": pa.array([j for _, j in states], pa.int32())})
+        m = pack(product([unpack(x) for x in t.column("m").to_pylist()]))
+        return pa.table({"doc_id": t.column("doc_id")[:1], "h": t.column("h")[:1], "k": pa.array([t.column("k")[0].as_py() // fan], pa.int64()), "m": pa.array([m], pa.binary())})
+
+    def read_off(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        s = boundary_states([unpack(x) for x in t.column("m").to_pylist()], t.column("i")[0].as_py(), t.column("j")[0].as_py())
+        return pa.table({"doc_id": t.column("doc_id"), "h": t.column("h"), "k": t.column("k"), "i": pa.array([i for i, _ in s], pa.int32()), "j": pa.array([j for _, j in s], pa.int32())})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = {x: b.column(x).to_pylist() for x in ("part", "n", "i", "j")}
-            ids = [worker().trace(p, n, i, j) for p, n, i, j in zip(c["part"], c["n"], c["i"], c["j"], strict=True)]
+            ids = [worker().trace(*x) for x in zip(*(b.column(c).to_pylist() for c in ("part", "lead", "n", "i", "j")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("k"), _lists(ids)], names=["doc_id", "h", "k", "ids"])
 
-    parts = cut(docs.select("doc_id", "h", "text").groupBy("doc_id", "h").agg(F.first("text").alias("text")).mapInArrow(split, "doc_id bigint, h bigint, k bigint, part string, n int").repartition("doc_id", "h", "k"))
-    states = parts.mapInArrow(work, "doc_id bigint, h bigint, k bigint, m binary").groupBy("doc_id", "h").applyInArrow(join, "doc_id bigint, h bigint, k bigint, i int, j int")
-    s = states.withColumnsRenamed({"doc_id": "d2", "h": "h2", "k": "k2"})
-    both = parts.join(s, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")) & (F.col("k") == F.col("k2")))
-    traced = both.select("doc_id", "h", "k", "part", "n", "i", "j").mapInArrow(trace, "doc_id bigint, h bigint, k bigint, ids array<int>")
+    def beside(a: DataFrame, b: DataFrame, at: str) -> DataFrame:
+        """Rows of a with the i and j of the rows of b whose k is `at`."""
+        s = b.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), F.col("k").alias("k2"), "i", "j")
+        return a.join(s, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")) & (F.expr(at) == F.col("k2"))).drop("d2", "h2", "k2")
+
+    parts = docs.select("doc_id", "h", "text").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    parts = cut(parts.mapInArrow(split, f"{key}, k bigint, part string, lead int, n int").repartition("doc_id", "h", "k"))
+    # up the tree: the matrices of so many neighbours become one, until a document has one group
+    levels = [cut(parts.mapInArrow(work, f"{key}, k bigint, m binary"))]
+    most = levels[0].agg(F.max("k")).first()[0] or 0
+    while most >= fan:
+        levels.append(cut(levels[-1].groupBy("doc_id", "h", F.expr(f"k div {fan}")).applyInArrow(lambda t: combine(t), f"{key}, k bigint, m binary")))
+        most //= fan
+    # and down: the path's states at the ends of a group give those inside it
+    states = None
+    for level in reversed(levels):
+        told = level.withColumn("i", F.lit(0)).withColumn("j", F.lit(None).cast("int")) if states is None else beside(level, states, f"k div {fan}")
+        states = told.groupBy("doc_id", "h", F.expr(f"k div {fan}")).applyInArrow(lambda t: read_off(t), f"{key}, k bigint, i int, j int")
+    traced = beside(parts, states, "k").select("doc_id", "h", "k", "part", "lead", "n", "i", "j").mapInArrow(trace, f"{key}, k bigint, ids array<int>")
     g = traced.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"))
     return g.select("doc_id", "h", F.flatten(F.col("p.ids")).alias("ids"))
 
 
-def encoded(docs: DataFrame, model: bytes, giant: int = GIANT) -> DataFrame:
+def encoded(docs: DataFrame, model: bytes, giant: int = GIANT, fan: int = FAN, size: int = 0) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, round_trip) for each row of docs (doc_id, text).
 
     ids_sha256 is of the ids as little-endian 32-bit integers; round_trip says that they decode to the text.
@@ -446,19 +520,19 @@ def encoded(docs: DataFrame, model: bytes, giant: int = GIANT) -> DataFrame:
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                s = b.slice(k, 500)
+            for s in slices(b, rows=500):
                 t = s.column(1).to_pylist()
                 yield rows(s.column(0), t, worker().encode_many(t))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = [np.array(x or [], dtype=np.int32).tobytes() for x in b.column(2).to_pylist()]
-            yield rows(b.column(0), b.column(1).to_pylist(), packed)
+            for s in slices(b):
+                packed = [np.array(x or [], dtype=np.int32).tobytes() for x in s.column(2).to_pylist()]
+                yield rows(s.column(0), s.column(1).to_pylist(), packed)
 
     short = d.filter(F.coalesce(F.length("text"), F.lit(0)) <= giant).mapInArrow(direct, schema)
     long = d.filter(F.length("text") > giant).withColumn("h", F.xxhash64("text"))
-    ids = _giants(long, worker).withColumnsRenamed({"doc_id": "d2", "h": "h2"})
+    ids = _giants(long, worker, fan, size).withColumnsRenamed({"doc_id": "d2", "h": "h2"})
     told = long.join(ids, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left").select("doc_id", "text", "ids")
     return short.unionByName(told.mapInArrow(check, schema))
 
