@@ -41,7 +41,7 @@ def test_language_accuracy(spark, sf_small):
 
 def test_language_sample_is_the_smallest_hashes(spark, sf_small, monkeypatch):
     monkeypatch.setattr(language, "TRAIN_DOCS", 7)
-    monkeypatch.setattr(language, "learn", lambda samples: samples)
+    monkeypatch.setattr(language, "learn", lambda samples, most: samples)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
     try:
         docs = table(spark, sf_small, "documents").select("doc_id", "text", "lang")

@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE, "op7_substrings": substrings.ORACLE, "op8_embeddings": embeddings.ORACLE}
+    return {"op2_decontaminate": decontaminate.ORACLE, "op6_html": html.ORACLE, "op7_substrings": substrings.ORACLE, "op8_embeddings": embeddings.ORACLE}
