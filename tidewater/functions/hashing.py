@@ -24,7 +24,16 @@ def mix32(h: Column) -> Column:
     return h.bitwiseXOR(F.shiftright(h, 16))
 
 
+def digits(*parts: Column | int) -> Column:
+    """The 32 hexadecimal digits of the MD5 of the parts, joined by colons; any SQL engine can repeat it."""
+    return F.md5(F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)).cast("binary"))
+
+
+def share(hex_digits: Column, start: int, count: int) -> Column:
+    """`count` hexadecimal digits from `start` (counted from 1) as a double in [0, 1); 13 digits at most are exact."""
+    return F.conv(F.substring(hex_digits, start, count), 16, 10).cast("bigint").cast("double") / F.lit(float(16**count))
+
+
 def uniform01(*parts: Column | int) -> Column:
     """A double in [0, 1) from the parts alone, whatever the partitioning."""
-    cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
+    return share(digits(*parts), 1, 13)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import MASK32, mix32, mul32, uniform01
+from ..functions.hashing import MASK32, digits, mix32, mul32, share, uniform01
+from .positions import exclusive_sum
 
 # Fixed values of the element hash and of the trace hash.
 LCG_MULTIPLIER = 1664525
@@ -44,12 +45,12 @@ def uniform_edges(spark: SparkSession, scale: int, target_degree: int, seed: int
 def rmat_edges(
     spark: SparkSession, scale: int, edge_factor: int = 16, a: float = 0.57, b: float = 0.19, c: float = 0.19, d: float = 0.05, seed: int = 42
 ) -> DataFrame:
-    """n * edge_factor recursive-matrix draws; each level of an edge takes one quadrant by its own hash. d is the rest."""
+    """n * edge_factor recursive-matrix draws; each level of an edge takes one quadrant by 16 bits of its hash. d is the rest."""
     if min(a, b, c, d) < 0 or abs(a + b + c + d - 1) > 1e-9:
         raise ValueError("a, b, c and d must be shares of 1")
     src = dst = F.lit(0).cast("bigint")
     for level in range(scale):
-        r = uniform01(F.col("id"), seed, level)
+        r = share(digits(F.col("id"), seed, level // 8), 4 * (level % 8) + 1, 4)
         down, right = r >= a + b, ((r >= a) & (r < a + b)) | (r >= a + b + c)
         src = src * 2 + down.cast("bigint")
         dst = dst * 2 + right.cast("bigint")
@@ -109,6 +110,21 @@ def fake_degrees(spark: SparkSession, nodes: int = 4096, low: int = 16, spread:
     return spark.range(nodes).select(F.col("id").alias("node"), (F.floor(uniform01(F.col("id"), seed, 6) * spread) + low).cast("bigint").alias("degree"))
 
 
+def fake_offsets(spark: SparkSession, nodes: int = 4096, elements: int = 1 << 20, seed: int = 123) -> DataFrame:
+    """(node, offset, degree): the running sum of fake degrees, cut off at the end of the array."""
+    d = exclusive_sum(fake_degrees(spark, nodes, seed=seed), "node", "degree", "begin")
+    start = F.least(F.col("begin"), F.lit(elements))
+    return d.select("node", start.alias("offset"), (F.least(F.col("begin") + F.col("degree"), F.lit(elements)) - start).alias("degree"))
+
+
+def sequential_trace(spark: SparkSession, threads: int, per_thread: int = 64) -> DataFrame:
+    """(seq, block, thread, index): each thread reads its own stretch of the array; all threads take a step before the next."""
+    t = F.col("id") % threads
+    return spark.range(threads * per_thread).select(
+        F.col("id").alias("seq"), F.floor(t / 1024).alias("block"), t.alias("thread"), (t * per_thread + F.floor(F.col("id") / threads)).alias("index")
+    )
+
+
 def strided_trace(spark: SparkSession, threads: int, pages: int, per_thread: int = 4, offset: int = 7, page: int = PAGE) -> DataFrame:
     """(seq, thread, index): thread i touches pages (i*k + j) mod pages at a fixed offset."""
     seq = F.col("id")

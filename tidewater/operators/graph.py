@@ -82,23 +82,31 @@ def graph_metadata(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return n.crossJoin(s).select("num_nodes", "num_edges", "source", "max_deg")
 
 
-def bfs(edges: DataFrame, source: int, max_levels: int | None = None, symmetric: bool = True) -> DataFrame:
+#: Frontiers of up to so many counted nodes are sent to the edges; larger ones are dealt out like them.
+SMALL_FRONTIER = 100_000
+
+
+def bfs(edges: DataFrame, source: int, max_levels: int | None = None, symmetric: bool = True, width: int | None = None) -> DataFrame:
     """(node, dist) of the nodes reached from the source, level by level.
 
     Edges stay partitioned by src over all levels. On a symmetric graph a neighbour of
     level L lies in L-1, L or L+1, so only two frontiers are subtracted, not all of the
-    visited set. Each frontier is checkpointed; the answer is the union of the frontiers.
+    visited set. Each frontier is checkpointed; the answer is the union of the frontiers. width is the
+    number of partitions of the edges; the result does not depend on it.
     """
     spark = edges.sparkSession
-    held = edges.select("src", "dst").repartition("src").persist()
+    held = edges.select("src", "dst")
+    held = (held.repartition(width, "src") if width else held.repartition("src")).persist()
     try:
         now = cut(spark.createDataFrame([(int(source), 0)], "node bigint, dist int"))
-        levels = [now]
+        levels, size = [now], 1
         while max_levels is None or len(levels) <= max_levels:
             seen = reduce(DataFrame.unionByName, levels[-2:] if symmetric else levels).select("node")
-            step = held.join(now, held.src == now.node).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+            front = F.broadcast(now) if size <= SMALL_FRONTIER else now
+            step = held.join(front, held.src == front.node).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
             now = cut(step.withColumn("dist", F.lit(len(levels))))
-            if now.isEmpty():
+            size = now.count()
+            if not size:
                 break
             levels.append(now)
     finally:
@@ -106,6 +114,25 @@ def bfs(edges: DataFrame, source: int, max_levels: int | None = None, symmetric:
     return reduce(DataFrame.unionByName, levels)
 
 
+def bfs_trace(edges: DataFrame, nodes: DataFrame, dist: DataFrame, width: int = 32) -> DataFrame:
+    """(launch, block, thread, seq, index): the reads of the edge array by a search, each level a launch.
+
+    The nodes of a level follow in the order of their ids; `width` threads share a node and take its edges in
+    turn. A block has 1024 threads.
+    """
+    level = dist.select(F.col("dist").alias("launch"), "node", F.floor(F.col("node") / DST_BLOCK).alias("b"))
+    upto = Window.partitionBy("launch").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = level.groupBy("launch", "b").agg(F.count("*").alias("c")).select("launch", "b", F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("o"))
+    inner = Window.partitionBy("launch", "b").orderBy("node")
+    placed = level.join(blocks, ["launch", "b"]).select("launch", "node", (F.col("o") + F.row_number().over(inner) - 1).alias("turn"))
+    off = csr_offsets(edges, nodes).filter("degree > 0")
+    each = placed.join(off, "node").select("launch", "turn", "offset", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("degree") - 1)).alias("j"))
+    thread = F.col("turn") * width + F.col("j") % width
+    return each.select(
+        "launch", F.floor(thread / 1024).alias("block"), thread.alias("thread"), F.struct("launch", "turn", "j").alias("seq"), (F.col("offset") + F.col("j")).alias("index")
+    )
+
+
 def frontier_sizes(dist: DataFrame) -> DataFrame:
     return dist.groupBy(F.col("dist").alias("level")).agg(F.count("*").alias("new_nodes"))
 

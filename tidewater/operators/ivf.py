@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import l2_squared
+from ..functions.distance import blocks, matrix, partial_topk
 from .vectors import assign, top_centroids
 
 ID_BLOCK = 1 << 20
@@ -14,17 +17,30 @@ ID_BLOCK = 1 << 20
 def build_index(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """(cluster_id, pos, vec_id, embedding), pos in the order (cluster_id, vec_id).
 
-    Positions are ranked inside blocks of ids of one cluster, so a large cluster is not one task.
+    Positions are ranked inside blocks of ids of one cluster, so a large cluster is not one task; the totals of
+    a cluster's blocks are summed in the cluster, and only the totals of the clusters meet in one window.
     """
     a = assign(vectors, centroids).select("vec_id", "cluster_id", F.floor(F.col("vec_id") / ID_BLOCK).alias("b"))
     counts = a.groupBy("cluster_id", "b").agg(F.count("*").alias("c"))
-    w = Window.orderBy("cluster_id", "b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("cluster_id", "b", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("o"))
+    within = Window.partitionBy("cluster_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, -1)  # k rows
+    whole = counts.groupBy("cluster_id").agg(F.sum("c").alias("t")).select("cluster_id", F.coalesce(F.sum("t").over(over), F.lit(0)).alias("first"))
+    inside = counts.withColumn("before", F.coalesce(F.sum("c").over(within), F.lit(0)))
+    starts = inside.join(whole, "cluster_id").select("cluster_id", "b", (F.col("first") + F.col("before")).alias("o"))
     inner = Window.partitionBy("cluster_id", "b").orderBy("vec_id")
     placed = a.join(starts, ["cluster_id", "b"]).withColumn("pos", F.col("o") + F.row_number().over(inner) - 1)
     return placed.join(vectors, "vec_id").select("cluster_id", "pos", "vec_id", "embedding")
 
 
+def sample_clustered(index: DataFrame, count: int) -> DataFrame:
+    """(query_id, vec_id, embedding): the vectors at places 0, s, 2s, ... of the cluster-sorted order, s = floor(N / count)."""
+    n = index.count()
+    if not 0 < count <= n:
+        raise ValueError(f"{count} queries asked of {n} vectors")
+    stride = n // count
+    return index.filter(F.expr(f"pos % {stride} = 0 AND pos div {stride} < {count}")).select(F.expr(f"pos div {stride}").alias("query_id"), "vec_id", "embedding")
+
+
 def cluster_sizes(index: DataFrame, centroids: DataFrame) -> DataFrame:
     """(cluster_id, size) of every cluster, empty ones too."""
     n = index.groupBy("cluster_id").agg(F.count("*").alias("size"))
@@ -54,21 +70,46 @@ def cluster_stats(sizes: DataFrame) -> DataFrame:
     )
 
 
+def search_trace(index: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int, dim: int, threads: int = 32) -> DataFrame:
+    """(block, thread, seq, index): the reads of the vector array by a search, a block of threads for each query.
+
+    Clusters are read nearest first, vectors by position, and the elements of a vector are taken in turn.
+    """
+    probes = top_centroids(queries, centroids, nprobe).select("query_id", "cluster_id", "rank")
+    rows = index.select("cluster_id", "pos").join(F.broadcast(probes), "cluster_id")  # nprobe rows a query
+    each = rows.select("query_id", "rank", "pos", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("e"))
+    at = F.col("pos") * dim + F.col("e")
+    seq = F.struct("query_id", "rank", "pos", "e")
+    return each.select(F.col("query_id").alias("block"), (F.col("query_id") * threads + F.col("e") % threads).alias("thread"), seq.alias("seq"), at.alias("index"))
+
+
 def search(
     index: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int = 10, k: int = 1, exclude_self: bool = False, outer: bool = False
 ) -> DataFrame:
     """(query_id, rank, vec_id, pos, dist): the k nearest members of the nprobe nearest clusters.
 
-    Ties go to the lowest vec_id. queries needs query_id and embedding, and vec_id to exclude self.
+    Ties go to the lowest vec_id. queries needs query_id and embedding, and vec_id to exclude self. Clusters that the
+    index lacks, negative ones too, are passed over.
     With outer, a query without candidates has one row -1, -1, infinity.
     """
-    probes = top_centroids(queries, centroids, nprobe).select("query_id", "cluster_id")
-    q = queries.select("query_id", F.col("embedding").alias("q"), *([F.col("vec_id").alias("own")] if exclude_self else []))
-    c = index.join(probes.join(q, "query_id"), "cluster_id")
-    if exclude_self:
-        c = c.filter("vec_id <> own")
-    d = c.select("query_id", "vec_id", "pos", l2_squared(F.col("q"), F.col("embedding")).alias("dist")).filter(~F.isnan("dist"))
     w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
+    parts = []
+    for q in blocks(queries, "query_id", "embedding"):
+        ids, mat = matrix(q, "query_id", "embedding")
+        if not len(ids):
+            continue
+        own = None
+        if exclude_self:
+            own = np.array([r.vec_id for r in q.select("query_id", "vec_id").orderBy("query_id").collect()], dtype=np.int64)
+        place = {int(x): i for i, x in enumerate(ids)}
+        probes: dict[int, list[int]] = {}
+        for r in top_centroids(q, centroids, nprobe).select("query_id", "cluster_id").collect():  # nprobe rows a query
+            probes.setdefault(r.cluster_id, []).append(place[r.query_id])
+        asked = {c: np.array(x) for c, x in probes.items()}
+        # vectors stay where they are; each partition sends k rows a query
+        parts.append(partial_topk(index.filter(F.col("cluster_id").isin(sorted(asked))), ids, mat, k, own, asked, ("pos",)))
+    schema = "query_id bigint, vec_id bigint, dist double, pos bigint"
+    d = reduce(DataFrame.unionByName, parts) if parts else index.sparkSession.createDataFrame([], schema)
     best = d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "pos", "dist")
     if not outer:
         return best

@@ -1,6 +1,6 @@
 """Page-locality analytics over access traces: gathers, coalescing, tier hits, FIFO residency.
 
-A trace has seq (a total order), index, and as needed block, warp and thread.
+A trace has seq (a total order, a number or a struct), index, and as needed block, warp and thread.
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 PAGE = 1024
 T2_ENTRIES = 32
+COUNTS = ["block", "entry", "hits", "misses", "conflicts", "released", "pinned"]
 
 
 def page_of(index: str = "index", page: int = PAGE) -> Column:
@@ -48,23 +49,32 @@ def coalesced_probes(trace: DataFrame, step: str | None = None) -> DataFrame:
     return g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("accesses"), F.count("*").alias("probes"))
 
 
-def tier_hits(trace: DataFrame, tiers: int = 3, launch: str | None = None) -> DataFrame:
-    """One row accesses, t1_hits, t2_hits, t3_hits, misses of an unbounded last tier.
+def with_steps(trace: DataFrame) -> DataFrame:
+    """trace with step: the how-manieth access of its thread each row is, from 0; the lanes of a warp take a step together."""
+    return trace.withColumn("step", F.row_number().over(Window.partitionBy("thread").orderBy("seq")) - 1)
 
-    T1 is the thread's last page, T2 the block's direct-mapped entry page % 32, T3 first touch.
-    T1 and T2 start anew with each launch.
-    """
+
+def _flags(trace: DataFrame, tiers: int, launch: str | None) -> DataFrame:
+    """trace with page, and h1 and h2: whether T1 or T2 holds the page."""
     if tiers not in (2, 3):
         raise ValueError("tiers must be 2 or 3")
     extra = [launch] if launch else []
     t = trace.withColumn("page", page_of())
     w1 = Window.partitionBy(*extra, "block", "thread").orderBy("seq")
     t = t.withColumn("h1", F.coalesce(F.lag("page").over(w1) == F.col("page"), F.lit(False)))
-    if tiers == 3:
-        w2 = Window.partitionBy(*extra, "block", "h1", F.col("page") % T2_ENTRIES).orderBy("seq")
-        t = t.withColumn("h2", ~F.col("h1") & F.coalesce(F.lag("page").over(w2) == F.col("page"), F.lit(False)))
-    else:
-        t = t.withColumn("h2", F.lit(False))
+    if tiers == 2:
+        return t.withColumn("h2", F.lit(False))
+    w2 = Window.partitionBy(*extra, "block", "h1", F.col("page") % T2_ENTRIES).orderBy("seq")
+    return t.withColumn("h2", ~F.col("h1") & F.coalesce(F.lag("page").over(w2) == F.col("page"), F.lit(False)))
+
+
+def tier_hits(trace: DataFrame, tiers: int = 3, launch: str | None = None) -> DataFrame:
+    """One row accesses, t1_hits, t2_hits, t3_hits, misses of an unbounded last tier.
+
+    T1 is the thread's last page, T2 the block's direct-mapped entry page % 32, T3 first touch.
+    T1 and T2 start anew with each launch.
+    """
+    t = _flags(trace, tiers, launch)
     g = t.groupBy("page").agg(F.count("*").alias("n"), F.count_if("h1").alias("a"), F.count_if("h2").alias("b"))
     s = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return g.agg(
@@ -72,6 +82,66 @@ def tier_hits(trace: DataFrame, tiers: int = 3, launch: str | None = None) -> Da
     )
 
 
+def bounded_tier_hits(trace: DataFrame, slots: int, tiers: int = 3, launch: str | None = None) -> DataFrame:
+    """One row accesses, t1_hits, t2_hits, t3_hits, misses; the last tier is one first-in first-out cache of `slots` pages.
+
+    T1 and T2 start anew with each launch, T3 does not. Only what T1 and T2 do not hold is put in order for T3.
+    """
+    t = _flags(trace, tiers, launch)
+    none = F.lit(0).cast("bigint")
+    upper = t.agg(F.count("*").alias("accesses"), F.count_if("h1").alias("t1_hits"), F.count_if("h2").alias("t2_hits"), none.alias("t3_hits"), none.alias("misses"))
+    asked = t.filter("NOT h1 AND NOT h2").select(none.alias("cache"), "seq", "index")
+    last = fifo_simulate(asked, slots, "cache").select(none.alias("accesses"), none.alias("t1_hits"), none.alias("t2_hits"), F.col("hits").alias("t3_hits"), "misses")
+    s = lambda c: F.coalesce(F.sum(c), none).alias(c)
+    return upper.unionByName(last).agg(*(s(c) for c in upper.columns))
+
+
+def observed(trace: DataFrame, tiers: int = 3) -> tuple[DataFrame, Observation]:
+    """The trace's pages with h1 and h2, and counters that any action on them fills: accesses, t1_hits, t2_hits."""
+    seen = Observation()
+    return _flags(trace, tiers, None).observe(seen, F.count("*").alias("accesses"), F.count_if("h1").alias("t1_hits"), F.count_if("h2").alias("t2_hits")), seen
+
+
+def pinned_entries(events: DataFrame) -> DataFrame:
+    """(block, entry, hits, misses, conflicts, released, pinned) of T2 entries whose readers pin them.
+
+    events: block, seq, page, count; a positive count acquires for so many readers, a negative one releases them.
+    An entry is page % 32. Acquiring its own page is a hit; an empty entry, or one without readers, takes the page
+    (a miss, and a page released if one was there); another reader's page is a conflict, and the acquire is refused.
+    A release counts down its own page only, to 0 at least; pinned are the readers left when the trace ends.
+    """
+    e = events.select("block", F.pmod("page", F.lit(T2_ENTRIES)).cast("bigint").alias("entry"), "seq", "page", F.col("count").cast("bigint").alias("count"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, s = None, None
+        out: list[tuple] = []
+        for b in batches:
+            for block, entry, page, count in zip(b["block"].tolist(), b["entry"].tolist(), b["page"].tolist(), b["count"].tolist(), strict=True):
+                if key != (block, entry):
+                    if key is not None:
+                        out.append((*key, *s[1:5], s[5]))
+                    key, s = (block, entry), [None, 0, 0, 0, 0, 0]  # page, hits, misses, conflicts, released, readers
+                if count < 0:
+                    if page == s[0]:
+                        s[5] = max(0, s[5] + count)
+                elif page == s[0]:
+                    s[1] += 1
+                    s[5] += count
+                elif s[0] is None or s[5] == 0:
+                    s[2] += 1
+                    s[4] += s[0] is not None
+                    s[0], s[5] = page, count
+                else:
+                    s[3] += 1
+            if out:
+                yield pd.DataFrame(out, columns=COUNTS)
+                out = []
+        if key is not None:
+            yield pd.DataFrame([(*key, *s[1:5], s[5])], columns=COUNTS)
+
+    return e.repartition("block", "entry").sortWithinPartitions("block", "entry", "seq").drop("seq").mapInPandas(run, ", ".join(f"{c} bigint" for c in COUNTS))
+
+
 def fifo_step(pages: list[int], slots: int, queue: deque, resident: set) -> tuple[int, int]:
     """Hits and misses of one stretch of a trace; queue and resident carry on."""
     hits = misses = 0
@@ -115,7 +185,7 @@ def fifo_simulate(trace: DataFrame, slots: int | list[int], cache: str = "block"
         if state is not None:
             yield pd.DataFrame([(state[0], state[1], state[4], state[5])], columns=["cache", "slots", "hits", "misses"])
 
-    return t.repartition("cache", "slots").sortWithinPartitions("cache", "slots", "seq").mapInPandas(run, "cache bigint, slots int, hits bigint, misses bigint")
+    return t.repartition("cache", "slots").sortWithinPartitions("cache", "slots", "seq").drop("seq").mapInPandas(run, "cache bigint, slots int, hits bigint, misses bigint")
 
 
 def derived_metrics(counts: DataFrame) -> DataFrame:
@@ -139,6 +209,18 @@ def sizing(elements: int, share: float) -> tuple[int, int]:
     return pages, int(pages * share)
 
 
+def sizing_rows(sizes: DataFrame) -> DataFrame:
+    """sizes (elements, share) with pages and cache_pages; the product of pages and share is one of 32-bit floats, cut to an integer."""
+    pages = F.ceil(F.col("elements") / PAGE)
+    return sizes.select("elements", "share", pages.alias("pages"), F.floor((pages.cast("float") * F.col("share").cast("float")).cast("float")).alias("cache_pages"))
+
+
+def first_mismatches(a: DataFrame, b: DataFrame, key: str, value: str, count: int = 5) -> DataFrame:
+    """(key, expected, got) of the first differing rows in the order of the key; NULL where a side has no row."""
+    j = a.select(key, F.col(value).alias("expected")).join(b.select(key, F.col(value).alias("got")), key, "full")
+    return j.filter(~F.col("expected").eqNullSafe(F.col("got"))).orderBy(key).limit(count)
+
+
 def mismatches(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """One row rows, mismatched: keys whose values differ or that one side lacks."""
     x = a.select(key, F.col(value).alias("_a"), F.lit(1).alias("_x"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import batch_matrix, blocks, matrix, nearest, partial_topk, squared_distances
+from ..functions.distance import batch_matrix, best_of, blocks, matrix, nearest, partial_topk
 from .positions import global_position
 
 
@@ -20,22 +20,24 @@ def sample_queries(vectors: DataFrame, count: int, order: str = "vec_id") -> Dat
     if not 0 < count <= n:
         raise ValueError(f"{count} queries asked of {n} vectors")
     stride = n // count
-    p = global_position(vectors, order, "_p")
+    # ids alone are ranked; the `count` chosen ones then fetch their vectors
+    p = global_position(vectors.select(order), order, "_p")
     keep = p.filter((F.col("_p") % stride == 0) & (F.floor(F.col("_p") / stride) < count))
-    return keep.select(F.floor(F.col("_p") / stride).alias("query_id"), "vec_id", "embedding")
+    keep = keep.select(F.floor(F.col("_p") / stride).alias("query_id"), order)
+    return vectors.join(F.broadcast(keep), order).select("query_id", "vec_id", "embedding")
 
 
 def brute_force_knn(vectors: DataFrame, queries: DataFrame, k: int = 1, exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, dist), smallest (dist, vec_id) first; query_id is compared with vec_id to exclude self.
 
-    Each batch of vectors yields its own k best, so what is shuffled is k rows a query and batch.
+    Each partition of vectors yields its own k best, so what is shuffled is k rows a query and partition.
     """
     parts = [(ids, mat) for ids, mat in (matrix(b, "query_id", "embedding") for b in blocks(queries, "query_id", "embedding")) if len(ids)]
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, dist double")
     w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
     return (
-        reduce(DataFrame.unionByName, (partial_topk(vectors, ids, mat, k, exclude_self) for ids, mat in parts))
+        reduce(DataFrame.unionByName, (partial_topk(vectors, ids, mat, k, ids if exclude_self else None) for ids, mat in parts))
         .withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "dist")
@@ -55,6 +57,13 @@ def top_centroids(queries: DataFrame, centroids: DataFrame, nprobe: int = 10) ->
     return nearest(queries, ids, mat, "query_id", nprobe, "cluster_id")
 
 
+def pad_probes(probes: DataFrame, nprobe: int) -> DataFrame:
+    """(query_id, rank, cluster_id) with nprobe rows a query; -1 where there are fewer clusters."""
+    ranks = F.explode(F.sequence(F.lit(1), F.lit(nprobe))).alias("rank")
+    every = probes.select("query_id").distinct().select("query_id", ranks)
+    return every.join(probes.select("query_id", "rank", "cluster_id"), ["query_id", "rank"], "left").select("query_id", "rank", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+
+
 def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """(vec_id, cluster_id, dist) of the nearest centroid, lowest id on ties."""
     ids, mat = matrix(centroids, "cluster_id", "centroid")
@@ -62,42 +71,51 @@ def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def _lloyd_step(train: DataFrame, mat: np.ndarray) -> np.ndarray:
-    """New means; each partition sends one partial sum a cluster, which a second stage adds up."""
+    """New means; each partition sends one row of sums a cluster, and the rows of a cluster are added up in one place."""
     handle = train.sparkSession.sparkContext.broadcast(mat)
     k, dim = mat.shape
 
+    def rows(sums: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        hit = np.flatnonzero(counts)
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(sums[hit].ravel()), dim).cast(pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit]), flat], names=["cluster_id", "n", "s"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mat = handle.value
         sums, counts = np.zeros((k, dim)), np.zeros(k, dtype=np.int64)
         for b in batches:
             if b.num_rows:
                 x = batch_matrix(b, "embedding")
-                d = squared_distances(x, mat)
-                d[~np.isfinite(d)] = np.inf
-                best, ok = d.argmin(1), np.isfinite(d.min(1))
+                best = best_of(x, mat, 1)[0][:, 0]
+                ok = best >= 0
                 np.add.at(sums, best[ok], x[ok])
                 counts += np.bincount(best[ok], minlength=k)
-        hit = np.flatnonzero(counts)
-        if len(hit):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(hit, dim)),
-                    pa.array(np.tile(np.arange(dim), len(hit))),
-                    pa.array(sums[hit].ravel()),
-                    pa.array(np.repeat(counts[hit], dim)),
-                ],
-                names=["cluster_id", "pos", "s", "n"],
-            )
-
-    parts = train.select("embedding").mapInArrow(run, "cluster_id bigint, pos bigint, s double, n bigint")
-    rows = parts.groupBy("cluster_id", "pos").agg((F.sum("s") / F.sum("n")).alias("m")).collect()  # k x dim at most
+        yield rows(sums, counts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros((k, dim)), np.zeros(k, dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                at = np.asarray(b.column(0))
+                np.add.at(sums, at, batch_matrix(b, "s"))
+                np.add.at(counts, at, np.asarray(b.column(1)))
+        yield rows(sums, counts)
+
+    schema = "cluster_id bigint, n bigint, s array<double>"
+    parts = train.select("embedding").mapInArrow(run, schema)
     out = np.zeros((k, dim))
-    for c, p, m in rows:
-        out[c, p] = m
+    for r in parts.repartition("cluster_id").mapInArrow(add, schema).collect():  # k rows at most
+        out[r.cluster_id] = np.array(r.s) / r.n
     handle.unpersist()
     return out
 
 
+def lowest(vectors: DataFrame, count: int) -> DataFrame:
+    """The vectors with the `count` lowest ids. Ids alone are ranked; the last of them then is a filter on the table."""
+    last = global_position(vectors.select("vec_id"), "vec_id", "_p").filter(F.col("_p") == count - 1).first() if count > 0 else None
+    return vectors.filter(F.col("vec_id") <= last["vec_id"]) if last else vectors.filter(F.lit(False))
+
+
 def kmeans(vectors: DataFrame, k: int, iters: int = 20, train_fraction: float = 0.5) -> DataFrame:
     """(cluster_id, centroid) after exactly iters Lloyd steps.
 
@@ -106,7 +124,7 @@ def kmeans(vectors: DataFrame, k: int, iters: int = 20, train_fraction: float =
     n = vectors.count()
     if n < k:
         raise ValueError(f"{k} clusters asked of {n} vectors")
-    train = global_position(vectors, "vec_id", "_p").filter(F.col("_p") < int(n * train_fraction)).select("embedding").persist()
+    train = lowest(vectors, int(n * train_fraction)).select("embedding").persist()
     try:
         _, mat = matrix(first_vectors(vectors, k), "cluster_id", "centroid")
         for _ in range(iters):

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stateword
 from ..functions.distance import l2_squared
 from ..operators import generators as gen
-from ..operators import graph, ivf, paging
+from ..operators import graph, harness, ivf, paging
 from ..operators import vectors as vec
 from ..sources import binary, benchlog
+from ..session import cut, ensure_checkpoint_dir
 from ..sources.tables import event_trace, purchase_edges, purchase_nodes, table, vectors
 
 K = 16
@@ -28,6 +29,10 @@ SAMPLED = 100
 #: The SQL of the graph queries takes purchases of so many pieces or more; their NAME_whole take every purchase.
 LEAST = 48.0
 
+#: Pages of the last tier in the models of the searches' reads.
+BFS_SLOTS, SEARCH_SLOTS = 2, 6
+OBSERVED = ("accesses", "t1_hits", "t2_hits")
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -77,9 +82,9 @@ def _source(edges: DataFrame) -> int:
     return graph.pick_source(graph.degrees(edges)).first()["node"]
 
 
-def _bfs(spark: SparkSession, d: str, least: float | None) -> tuple[DataFrame, DataFrame]:
-    e = _graph(spark, d, least).persist()
-    return e, graph.bfs(e, _source(e))
+def _bfs(spark: SparkSession, d: str, least: float | None, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+    e = cut(_graph(spark, d, least))  # kept in the shared folder, so no memory is held after the query
+    return e, graph.bfs(e, _source(e), width=width)
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -350,11 +355,205 @@ def bench_log_parse(spark: SparkSession, d: str) -> DataFrame:
     return benchlog.parse_lines(lines, benchlog.ANN_COLUMNS)
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
 @query
 def binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    folder = tempfile.mkdtemp(prefix="tidewater-bin-")
     v = vectors(spark, d)
-    path = os.path.join(folder, "vectors.bin")
+    path = f"{_folder(spark)}/vectors.bin"
     binary.write_bin(v, path, "embedding", "<f4", "vec_id")
-    back = binary.read_vectors_bin(spark, f"file://{path}", len(v.first()["embedding"]), expected=v.count())
+    back = binary.read_vectors_bin(spark, path, len(v.first()["embedding"]), expected=v.count())
     return paging.mismatches(v, back, "vec_id", "embedding")
+
+
+@query
+def graph_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The purchase graph as the three array files, read again as (pos, dst)."""
+    e = cut(_graph(spark, d, LEAST))
+    nodes = purchase_nodes(spark, d)
+    folder = _folder(spark)
+    last = F.coalesce("node", F.lit((1 << 63) - 1))
+    edges = cut(graph.csr_edges(e))
+    binary.write_graph(graph.csr_offsets(e, nodes).withColumn("node", last), edges, graph.graph_metadata(e, nodes), folder)
+    meta = [r.value for r in binary.read_bin(spark, f"{folder}/metadata.bin", "<i8", 4).orderBy("pos").collect()]
+    back = binary.read_bin(spark, f"{folder}/edges.bin", "<i4", meta[1]).select("pos", F.col("value").cast("bigint").alias("dst"))
+    offsets = binary.read_bin(spark, f"{folder}/offsets.bin", "<u4", meta[0] + 1)
+    ends = offsets.agg(F.max("value").alias("last_offset"))
+    report = paging.mismatches(edges, back, "pos", "dst")
+    return report.join(ends).select("rows", "mismatched", "last_offset", *(F.lit(x).cast("bigint").alias(c) for c, x in zip(("num_nodes", "num_edges", "source", "max_deg"), meta, strict=True)))
+
+
+@query
+def index_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted file as its four array files, the large two in parts, read again by position."""
+    index, c = _index(spark, d)
+    index = cut(index)
+    folder = _folder(spark)
+    binary.write_ivf_bin(index, c, ivf.cluster_offsets(ivf.cluster_sizes(index, c), K), folder, parts=True)
+    n = index.count()
+    dim = len(index.first()["embedding"])
+    ids = binary.read_bin(spark, f"{folder}/vector_indices.bin", "<i4", n).select("pos", F.col("value").cast("bigint").alias("vec_id"))
+    raw = binary.read_vectors_bin(spark, f"{folder}/raw_vectors.bin", dim, expected=n).select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
+    both = ids.join(raw, "pos").withColumn("row", F.struct("vec_id", "vector"))
+    report = paging.mismatches(index.withColumn("row", F.struct("vec_id", F.col("embedding").alias("vector"))), both, "pos", "row")
+    ends = binary.read_bin(spark, f"{folder}/cluster_offsets.bin", "<i4", K + 1).agg(F.max("value").cast("bigint").alias("last_offset"))
+    return report.join(ends)
+
+
+@query
+def distribution_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{_folder(spark)}/cluster_distribution.csv"
+    binary.write_cluster_distribution(ivf.cluster_sizes(*_index(spark, d)), path)
+    return binary.read_cluster_distribution(spark, path).select(F.col("cluster_id").cast("bigint").alias("cluster_id"), F.col("size").cast("bigint").alias("size"))
+
+
+@query
+def query_sampler_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's own sampler: places of the cluster-sorted order."""
+    return ivf.sample_clustered(_index(spark, d)[0], QUERIES).select("query_id", "vec_id")
+
+
+@query
+def ivf_trained_search(spark: SparkSession, d: str) -> DataFrame:
+    """k-means, assignment, inverted file and search in one: queries are sampled from the cluster-sorted order."""
+    v = vectors(spark, d)
+    c = vec.kmeans(v, 8, 3)
+    index = cut(ivf.build_index(v, c))
+    q = ivf.sample_clustered(index, QUERIES)
+    return _round(ivf.search(index, c, q, NPROBE).drop("rank"), "dist")
+
+
+@query
+def probe_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Probes padded to K + 4 a query with -1, and again without the invalid ones."""
+    v = vectors(spark, d)
+    probes = vec.pad_probes(vec.top_centroids(_queries(spark, d), vec.first_vectors(v, K), K + 4), K + 4)
+    valid = F.count_if(F.col("cluster_id") >= 0)
+    return probes.groupBy("query_id").agg(F.count("*").alias("probes"), valid.alias("valid"), F.min("cluster_id").alias("lowest"))
+
+
+@query
+def verify_search(spark: SparkSession, d: str) -> DataFrame:
+    """The search with the index in so many partitions, against the search over all clusters' exact target."""
+    index, c = _index(spark, d)
+    index = cut(index)
+    q = cut(_queries(spark, d))
+    target = cut(ivf.search(index, c, q, NPROBE))
+    return harness.verified("BaM", [1, 2, 8], lambda n: ivf.search(index.repartition(n), c, q, NPROBE), target, "query_id", "vec_id")
+
+
+@query
+def verify_bfs(spark: SparkSession, d: str) -> DataFrame:
+    """Breadth-first search with the edges in so many partitions: levels and nodes reached against the target's."""
+    e, dist = _bfs(spark, d, LEAST)
+    source = _source(e)
+    target = cut(dist)
+    return harness.verified("BaM", [1, 32], lambda n: graph.bfs(e, source, width=n), target, "node", "dist")
+
+
+@query
+def mismatch_first(spark: SparkSession, d: str) -> DataFrame:
+    a = paging.gather(event_trace(spark, d), _backing(spark))
+    b = a.withColumn("value", F.when(F.col("seq") % 1000 == 7, F.col("value") + 1).otherwise(F.col("value")))
+    return paging.first_mismatches(a, b, "seq", "value")
+
+
+@query
+def coalesced_probes_step(spark: SparkSession, d: str) -> DataFrame:
+    """One probe for each page that a warp wants in one step of its lanes."""
+    return paging.coalesced_probes(paging.with_steps(event_trace(spark, d)), "step")
+
+
+@query
+def observed_counters(spark: SparkSession, d: str) -> DataFrame:
+    df, seen = paging.observed(event_trace(spark, d))
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get[c] for c in OBSERVED)], ", ".join(f"{c} bigint" for c in OBSERVED))
+
+
+def _tiers_of_bfs(tiers: int) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        e, dist = _bfs(spark, d, LEAST)
+        return paging.bounded_tier_hits(graph.bfs_trace(e, purchase_nodes(spark, d), dist), BFS_SLOTS, tiers, "launch")
+
+    return run
+
+
+REGISTRY["bfs_tiers_3"] = _tiers_of_bfs(3)
+REGISTRY["bfs_tiers_2"] = _tiers_of_bfs(2)
+
+
+def _tiers_of_search(tiers: int) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        index, c = _index(spark, d)
+        q = _queries(spark, d)
+        return paging.bounded_tier_hits(ivf.search_trace(index, c, q, NPROBE, len(q.first()["embedding"])), SEARCH_SLOTS, tiers)
+
+    return run
+
+
+REGISTRY["ivf_tiers_3"] = _tiers_of_search(3)
+REGISTRY["ivf_tiers_2"] = _tiers_of_search(2)
+
+
+@query
+def cache_fifo_shared(spark: SparkSession, d: str) -> DataFrame:
+    t = gen.warp_shared_trace(spark, 1536, 4, 96).withColumn("block", F.lit(0))
+    return paging.fifo_simulate(t, [16, 48]).select("slots", "hits", "misses")
+
+
+def pin_events(spark: SparkSession) -> DataFrame:
+    """Acquires of two readers and releases of one, some of them late and some missing."""
+    t = gen.warp_shared_trace(spark, 2048, 4, 96).select(F.col("seq").alias("i"), "page")
+    take = t.select((F.col("i") * 16).alias("seq"), "page", F.lit(2).alias("count"))
+    give = lambda late: t.filter(F.col("i") % 7 != late).select((F.col("i") * 16 + 1 + F.col("i") % 5 * 16 + late).alias("seq"), "page", F.lit(-1).alias("count"))
+    return take.unionByName(give(1)).unionByName(give(2)).withColumn("block", F.expr("seq div 16384"))
+
+
+@query
+def pinned_entries(spark: SparkSession, d: str) -> DataFrame:
+    return paging.pinned_entries(pin_events(spark))
+
+
+@query
+def state_words(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id")
+    w = stateword.pack(i % 2 == 1, F.expr("id div 2 % 2 = 1"), F.expr("id div 4 % 2 = 1"), i * 2097152)
+    words = spark.range(512).select("id", w.alias("word"))
+    x = F.col("word")
+    return words.select("id", "word", stateword.substate(x).alias("substate"), stateword.readers(x).alias("readers"), stateword.loaded(x).alias("loaded"), stateword.not_busy(x).alias("not_busy"))
+
+
+@query
+def sizing_table(spark: SparkSession, d: str) -> DataFrame:
+    n = spark.range(1, 40).select((F.col("id") * 99991).alias("elements"))
+    shares = F.explode(F.array(*(F.lit(x) for x in (0.1, 0.25, 0.3, 1.0)))).alias("share")
+    return paging.sizing_rows(n.select("elements", shares))
+
+
+@query
+def gen_fake_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return gen.fake_offsets(spark, 4096, 100_000)
+
+
+@query
+def gen_sequential_trace(spark: SparkSession, d: str) -> DataFrame:
+    return gen.sequential_trace(spark, 2048)
+
+
+@query
+def tier_hits_sequential(spark: SparkSession, d: str) -> DataFrame:
+    return paging.tier_hits(gen.sequential_trace(spark, 2048), 3)
+
+
+@query
+def bfs_widths(spark: SparkSession, d: str) -> DataFrame:
+    """The search for the narrowest and the widest width; the result does not depend on it."""
+    out = []
+    for width in (harness.THREADS_PER_NODE[0], harness.THREADS_PER_NODE[5]):
+        harness.validate(tpn=width)
+        e, dist = _bfs(spark, d, LEAST, width)
+        out.append(graph.bfs_summary(dist, graph.degrees(e)).withColumn("tpn", F.lit(width)))
+    return reduce(DataFrame.unionByName, out)

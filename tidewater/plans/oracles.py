@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import DECIMALS, EVERY, K, NPROBE, QUERIES, SAMPLED
+from .catalog import BFS_SLOTS, DECIMALS, EVERY, K, NPROBE, QUERIES, SAMPLED, SEARCH_SLOTS
 
 EDGES = """d1 AS (SELECT DISTINCT 2*o_custkey AS u, 2*l_partkey+1 AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48),
 e AS (SELECT u AS src, v AS dst FROM d1 UNION SELECT v, u FROM d1),
@@ -151,3 +151,103 @@ ORACLES |= {f"{name}_whole": sql.replace(FILTER, "") for name, sql in ORACLES.it
 WHOLE_SET = f"q AS (SELECT vec_id // {EVERY} AS query_id, vec_id, embedding FROM embeddings WHERE vec_id % {EVERY} = 0)"
 ORACLES |= {f"{name}_whole": sql.replace(QUERY_SET, WHOLE_SET) for name, sql in ORACLES.items() if QUERY_SET in sql}
 ORACLES["query_sampler_whole"] = ORACLES["query_sampler"].replace(f"n // {QUERIES}", f"n // {SAMPLED}").replace(f"< {QUERIES})", f"< {SAMPLED})")
+
+
+def draw(row: str, seed: int, salt: int) -> str:
+    """The double in [0, 1) of a row: 13 hexadecimal digits of an MD5."""
+    return f"(('0x' || substr(md5({row} || ':{seed}:{salt}'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
+
+
+def fifo(requests: str, slots: str) -> str:
+    """caches: the cache of each size after each request (n from 0, page); requests is a table r, slots a list of rows."""
+    return f"""{requests},
+caches(slots, n, q, hits, misses) AS (SELECT slots, 0::BIGINT, []::BIGINT[], 0::BIGINT, 0::BIGINT FROM (VALUES {slots}) v(slots)
+ UNION ALL SELECT slots, w.n + 1, CASE WHEN list_contains(q, page) THEN q WHEN len(q) = slots THEN list_append(q[2:], page) ELSE list_append(q, page) END,
+ hits + list_contains(q, page)::INT, misses + (NOT list_contains(q, page))::INT FROM caches w JOIN r ON r.n = w.n),
+ends AS (SELECT slots, max(hits) AS hits, max(misses) AS misses FROM caches GROUP BY 1)"""
+
+
+def tiers(trace: str, order: str, launch: str, slots: int, two: bool) -> str:
+    """The bounded model over a table `trace` (block, thread, page and the columns of the order)."""
+    h2 = "false" if two else f"NOT h1 AND coalesce(lag(page) OVER (PARTITION BY {launch} block, h1, page % 32 ORDER BY {order}) = page, false)"
+    r = f"""a1 AS MATERIALIZED (SELECT *, coalesce(lag(page) OVER (PARTITION BY {launch} block, thread ORDER BY {order}) = page, false) AS h1 FROM trace),
+b1 AS MATERIALIZED (SELECT *, {h2} AS h2 FROM a1),
+r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {order}) - 1 AS n, page FROM b1 WHERE NOT h1 AND NOT h2)"""
+    return f"""{trace}, {fifo(r, f"({slots})")}
+SELECT (SELECT count(*) FROM b1) AS accesses, (SELECT count(*) FROM b1 WHERE h1) AS t1_hits, (SELECT count(*) FROM b1 WHERE h2) AS t2_hits,
+ hits AS t3_hits, misses FROM ends"""
+
+
+BFS_TRACE = f"""WITH RECURSIVE {BFS}, offs AS (SELECT node, coalesce(sum(degree) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o, degree FROM deg),
+turns AS (SELECT node, dist AS launch, row_number() OVER (PARTITION BY dist ORDER BY node) - 1 AS turn FROM dist),
+reads AS (SELECT launch, turn, o, unnest(range(degree)) AS j FROM turns JOIN offs USING (node) WHERE degree > 0),
+trace AS MATERIALIZED (SELECT launch, turn, j, turn * 32 + j % 32 AS thread, (turn * 32 + j % 32) // 1024 AS block, (o + j) // 1024 AS page FROM reads)"""
+SEARCH_TRACE = f"""WITH RECURSIVE {QUERY_SET}, {INDEX}, {probe(NPROBE, False)},
+reads AS (SELECT pr.query_id, pr.rank, ix.pos, unnest(range(len(q.embedding))) AS e, len(q.embedding) AS dim FROM pr JOIN q USING (query_id) JOIN ix ON ix.cluster_id = pr.cluster_id),
+trace AS MATERIALIZED (SELECT query_id, rank, pos, e, query_id AS block, query_id * 32 + e % 32 AS thread, (pos * dim + e) // 1024 AS page FROM reads)"""
+for _n, _two in ((3, False), (2, True)):
+    ORACLES[f"bfs_tiers_{_n}"] = tiers(BFS_TRACE, "launch, turn, j", "launch,", BFS_SLOTS, _two)
+    ORACLES[f"ivf_tiers_{_n}"] = tiers(SEARCH_TRACE, "query_id, rank, pos, e", "", SEARCH_SLOTS, _two)
+
+#: Centroids after three Lloyd steps, as the table c.
+TRAINED = kmeans(3).removeprefix("WITH ").partition(" SELECT cluster_id, pos, round(")[0] + ", c AS (SELECT cluster_id, x AS centroid FROM m3)"
+TRAINED_INDEX = INDEX.replace(CENTROIDS, TRAINED)
+CLUSTERED = f"""nn AS (SELECT count(*) AS n FROM embeddings),
+q AS (SELECT pos // (n // {QUERIES}) AS query_id, vec_id, embedding FROM ix JOIN embeddings USING (vec_id), nn WHERE pos % (n // {QUERIES}) = 0 AND pos // (n // {QUERIES}) < {QUERIES})"""
+SHARED_PAGE = "((((t // 32) * 4 + (t % 32) % 4)::HUGEINT * 2654435761) % 4294967296 % 96)::BIGINT"
+SEQUENTIAL = "SELECT t AS seq, t % 2048 // 1024 AS block, t % 2048 AS thread, t % 2048 * 64 + t // 2048 AS index FROM range(131072) r(t)"
+
+ORACLES |= {
+    "gen_uniform_trace": f"SELECT t AS seq, floor({draw('t', 42, 3)} * 1048576)::BIGINT AS index FROM range(20000) r(t)",
+    "gen_zipf_trace": f"""WITH w AS (SELECT page, 1.0::DOUBLE / (page + 1) AS w FROM range(1000) r(page)),
+cdf AS (SELECT page, sum(w) OVER (ORDER BY page) / (SELECT sum(w) FROM w) AS hi FROM w),
+d AS (SELECT t AS seq, {draw("t", 42, 4)} AS r FROM range(20000) r(t))
+SELECT seq, (coalesce(min(page), 999) * 1024 + floor({draw("seq", 42, 5)} * 1024))::BIGINT AS index FROM d LEFT JOIN cdf ON hi >= r GROUP BY seq""",
+    "gen_uniform_graph": f"""WITH d AS (SELECT floor({draw("t", 42, 1)} * 1024)::BIGINT AS u, floor({draw("t", 42, 2)} * 1024)::BIGINT AS v FROM range(8192) r(t))
+SELECT u AS src, v AS dst FROM d WHERE u <> v UNION SELECT v, u FROM d WHERE u <> v""",
+    "gen_rmat_graph": f"""WITH l AS (SELECT t, k, (('0x' || substr(md5(t || ':42:' || (k // 8)), (4 * (k % 8) + 1)::INT, 4))::BIGINT::DOUBLE / 65536.0::DOUBLE) AS r FROM range({1024 * 16}) a(t), range(10) b(k)),
+b AS (SELECT t, sum((r >= 0.57 + 0.19)::BIGINT << (9 - k))::BIGINT AS u, sum(((r >= 0.57 AND r < 0.57 + 0.19) OR r >= 0.57 + 0.19 + 0.19)::BIGINT << (9 - k))::BIGINT AS v FROM l GROUP BY t)
+SELECT u AS src, v AS dst FROM b WHERE u <> v UNION SELECT v, u FROM b WHERE u <> v""",
+    "gen_fake_offsets": f"""WITH d AS (SELECT t AS node, (floor({draw("t", 123, 6)} * 32) + 16)::BIGINT AS degree FROM range(4096) r(t)),
+o AS (SELECT node, degree, coalesce(sum(degree) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM d)
+SELECT node, least(o, 100000) AS "offset", least(o + degree, 100000) - least(o, 100000) AS degree FROM o""",
+    "gen_sequential_trace": SEQUENTIAL,
+    "tier_hits_sequential": f"""WITH t AS (SELECT *, index // 1024 AS page FROM ({SEQUENTIAL})),
+a AS (SELECT *, coalesce(lag(page) OVER (PARTITION BY block, thread ORDER BY seq) = page, false) AS h1 FROM t),
+b AS (SELECT *, NOT h1 AND coalesce(lag(page) OVER (PARTITION BY block, h1, page % 32 ORDER BY seq) = page, false) AS h2 FROM a)
+SELECT count(*) AS accesses, count(*) FILTER (h1) AS t1_hits, count(*) FILTER (h2) AS t2_hits,
+ count(*) - count(*) FILTER (h1) - count(*) FILTER (h2) - count(DISTINCT page) AS t3_hits, count(DISTINCT page) AS misses FROM b""",
+    "cache_fifo_shared": f"WITH RECURSIVE {fifo(f'r AS MATERIALIZED (SELECT t AS n, {SHARED_PAGE} AS page FROM range(1536) x(t))', '(16), (48)')} SELECT slots::INT AS slots, hits, misses FROM ends",
+    "pinned_entries": f"""WITH RECURSIVE p AS (SELECT t, {SHARED_PAGE} AS page FROM range(2048) r(t)),
+ev AS (SELECT t * 16 AS seq, page, 2 AS c FROM p UNION ALL SELECT t * 16 + 1 + t % 5 * 16 + late, page, -1 FROM p, (VALUES (1), (2)) l(late) WHERE t % 7 <> late),
+e AS MATERIALIZED (SELECT seq // 16384 AS block, page % 32 AS entry, page, c, row_number() OVER (PARTITION BY seq // 16384, page % 32 ORDER BY seq) AS n FROM ev),
+walk(block, entry, n, page, hits, misses, conflicts, released, pins) AS (
+ SELECT DISTINCT block, entry, 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM e
+ UNION ALL SELECT w.block, w.entry, w.n + 1,
+  CASE WHEN c > 0 AND w.page <> e.page AND (w.page = -1 OR pins = 0) THEN e.page ELSE w.page END,
+  hits + (c > 0 AND w.page = e.page)::INT, misses + (c > 0 AND w.page <> e.page AND (w.page = -1 OR pins = 0))::INT,
+  conflicts + (c > 0 AND w.page <> e.page AND w.page <> -1 AND pins > 0)::INT, released + (c > 0 AND w.page <> e.page AND w.page <> -1 AND pins = 0)::INT,
+  CASE WHEN w.page = e.page THEN greatest(0, pins + c) WHEN c > 0 AND (w.page = -1 OR pins = 0) THEN c ELSE pins END
+ FROM walk w JOIN e ON e.block = w.block AND e.entry = w.entry AND e.n = w.n + 1)
+SELECT block, entry, hits, misses, conflicts, released, pins AS pinned FROM walk QUALIFY row_number() OVER (PARTITION BY block, entry ORDER BY n DESC) = 1""",
+    "state_words": """WITH a AS (SELECT t AS id, (t * 2097152) & 536870911 AS readers, t % 2 AS v, t // 2 % 2 AS b, t // 4 % 2 AS d FROM range(512) r(t)),
+w AS (SELECT id, readers, v, b, v * 2147483648 + b * 1073741824 + d * 536870912 + readers AS word FROM a)
+SELECT id, word, (['NV_NB', 'NV_B', 'V_NB', 'V_B'])[v * 2 + b + 1] AS substate, readers, xor(word, 3221225472) AS loaded, word - b * 1073741824 AS not_busy FROM w""",
+    "sizing_table": """SELECT t * 99991 AS elements, s AS share, ceil(t * 99991 / 1024)::BIGINT AS pages, floor(ceil(t * 99991 / 1024)::FLOAT * s::FLOAT)::BIGINT AS cache_pages
+FROM range(1, 40) r(t), (VALUES (0.1::DOUBLE), (0.25), (0.3), (1.0)) v(s)""",
+    "graph_file_roundtrip": f"""WITH {EDGES}, {SOURCE} SELECT count(*) AS rows, 0::BIGINT AS mismatched, count(*) AS last_offset, (SELECT count(*) FROM nodes) AS num_nodes, count(*) AS num_edges,
+ (SELECT node FROM source) AS source, (SELECT degree FROM source) AS max_deg FROM e""",
+    "index_file_roundtrip": "SELECT count(*) AS rows, 0::BIGINT AS mismatched, count(*) AS last_offset FROM embeddings",
+    "distribution_roundtrip": f"WITH {SIZES} SELECT cluster_id, size FROM sizes",
+    "query_sampler_clustered": f"WITH {INDEX}, {CLUSTERED} SELECT query_id, vec_id FROM q",
+    "ivf_trained_search": f"WITH {TRAINED_INDEX}, {CLUSTERED}, {probe(NPROBE, False)} SELECT query_id, vec_id, pos, round(dist, {DECIMALS}) AS dist FROM found",
+    "probe_matrix": f"WITH {QUERY_SET} SELECT query_id, {K + 4}::BIGINT AS probes, {K}::BIGINT AS valid, -1::BIGINT AS lowest FROM q",
+    "verify_search": f"""WITH {QUERY_SET}, {INDEX}, {probe(NPROBE, False)} SELECT 'BaM' AS method, v AS value, (SELECT count(*) FROM found) AS rows, 0::BIGINT AS mismatched, 'PASS' AS status
+FROM (VALUES (1::BIGINT), (2), (8)) x(v)""",
+    "verify_bfs": f"{BFS_WITH} SELECT 'BaM' AS method, v AS value, (SELECT count(*) FROM dist) AS rows, 0::BIGINT AS mismatched, 'PASS' AS status FROM (VALUES (1::BIGINT), (32)) x(v)",
+    "bfs_widths": f"{BFS_WITH}, s AS (SELECT max(dist) AS max_level, count(*) AS nodes_reached, sum(degree)::BIGINT AS edges_accessed FROM dist LEFT JOIN deg0 USING (node)) SELECT s.*, tpn FROM s, (VALUES (1), (32)) x(tpn)",
+    "mismatch_first": f"WITH {TRACE} SELECT seq, index AS expected, index + 1 AS got FROM t WHERE seq % 1000 = 7 ORDER BY seq LIMIT 5",
+    "coalesced_probes_step": f"""WITH {TRACE}, s AS (SELECT warp, page, row_number() OVER (PARTITION BY thread ORDER BY seq) AS step FROM t)
+SELECT count(*) AS accesses, count(DISTINCT (warp, page, step)) AS probes FROM s""",
+    "observed_counters": f"{TIERS} SELECT accesses, t1 AS t1_hits, t2 AS t2_hits FROM s",
+}
