@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import cut, ensure_checkpoint_dir
 
-__all__ = ["components", "cut", "documents", "ensure_checkpoint_dir", "fresh", "grouped", "map_rows", "slices", "table", "written"]
+__all__ = ["components", "cut", "documents", "ensure_checkpoint_dir", "fresh", "grouped", "map_rows", "map_texts", "slices", "table", "written"]
 
 
 #: Arrow batches are turned into Python objects so many bytes at a time.
@@ -67,6 +68,14 @@ def map_rows(df: DataFrame, schema: str, f: Callable[[dict[str, list]], dict[str
     return df.mapInArrow(run, schema)
 
 
+def map_texts(docs: DataFrame, f: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow to rows of the same columns, whatever their names; f also gets the place of the column text."""
+    at = docs.columns.index("text")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # mapInArrow looks its columns up by name, where a dot would mean a field
+    kind = StructType([StructField(n, x.dataType, x.nullable) for n, x in zip(names, docs.schema.fields, strict=True)])
+    return docs.toDF(*names).mapInArrow(lambda batches: f(batches, at), kind).toDF(*docs.columns)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of whole groups from batches sorted by the keys.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, slices, table
+from .common import documents, map_rows, map_texts, slices, table
 
 SAMPLE = 6000
 WORD_SPACE = 1 << 14
@@ -220,11 +220,11 @@ def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
     handle = docs.sparkSession.sparkContext.broadcast(machine)
     cache: dict[str, tuple[int, int]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(scores(handle.value, b.column(b.schema.get_field_index("text")), cache) >= THRESHOLD))
+            yield b.filter(pa.array(scores(handle.value, b.column(at), cache) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

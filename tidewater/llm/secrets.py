@@ -11,12 +11,14 @@ import hashlib
 import json
 import re
 import zlib
+from collections.abc import Iterator
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows
+from .common import documents, map_rows, map_texts, slices
 
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE = ("assign", "access", "hex")
@@ -150,17 +152,15 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     """docs with every span of a secret in text replaced; all other columns and rows as they are."""
     auto: list = []
 
-    def run(batches):
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         if not auto:
             auto.append(automaton())
-        for b in batches:
-            i = b.schema.get_field_index("text")
-            texts = [None if t is None else mask(t, scan(t, auto[0])) for t in b.column(i).to_pylist()]
-            yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
+        for whole in batches:
+            for b in slices(whole):
+                texts = [None if t is None else mask(t, scan(t, auto[0])) for t in b.column(at).to_pylist()]
+                yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
