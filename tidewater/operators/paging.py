@@ -96,6 +96,24 @@ def bounded_tier_hits(trace: DataFrame, slots: int, tiers: int = 3, launch: str
     return upper.unionByName(last).agg(*(s(c) for c in upper.columns))
 
 
+def coalesced_tier_hits(trace: DataFrame) -> DataFrame:
+    """One row accesses, t1_hits, probes, t2_hits, t3_hits, misses of an unbounded last tier, counted as acquisitions.
+
+    trace has warp and step. What T1 does not hold is asked for once for each page that a warp wants in a step; T2 and
+    T3 count those probes and not their lanes.
+    """
+    t = _flags(trace, 2, None)
+    lead = t.filter("NOT h1").groupBy("block", "warp", "step", "page").agg(F.min("seq").alias("seq"))
+    w2 = Window.partitionBy("block", F.col("page") % T2_ENTRIES).orderBy("seq")
+    lead = lead.withColumn("h2", F.coalesce(F.lag("page").over(w2) == F.col("page"), F.lit(False)))
+    g = lead.groupBy("page").agg(F.count("*").alias("n"), F.count_if("h2").alias("b"))
+    none = F.lit(0).cast("bigint")
+    s = lambda c: F.coalesce(F.sum(c), none)
+    lower = g.agg(s("n").alias("probes"), s("b").alias("t2_hits"), (s("n") - s("b") - F.count("*")).alias("t3_hits"), F.count("*").alias("misses"))
+    upper = t.agg(F.count("*").alias("accesses"), F.count_if("h1").alias("t1_hits"))
+    return upper.crossJoin(F.broadcast(lower))  # a row each
+
+
 def observed(trace: DataFrame, tiers: int = 3) -> tuple[DataFrame, Observation]:
     """The trace's pages with h1 and h2, and counters that any action on them fills: accesses, t1_hits, t2_hits."""
     seen = Observation()

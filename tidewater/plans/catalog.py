@@ -31,6 +31,8 @@ LEAST = 48.0
 
 #: Pages of the last tier in the models of the searches' reads.
 BFS_SLOTS, SEARCH_SLOTS = 2, 6
+#: Threads of a block in the traces that have blocks.
+BLOCK_THREADS = 64
 OBSERVED = ("accesses", "t1_hits", "t2_hits")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -466,6 +468,22 @@ def coalesced_probes_step(spark: SparkSession, d: str) -> DataFrame:
     return paging.coalesced_probes(paging.with_steps(event_trace(spark, d)), "step")
 
 
+@query
+def tier_hits_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return paging.tier_hits(event_trace(spark, d, BLOCK_THREADS), 3)
+
+
+@query
+def tier_hits_coalesced(spark: SparkSession, d: str) -> DataFrame:
+    return paging.coalesced_tier_hits(paging.with_steps(event_trace(spark, d, BLOCK_THREADS)))
+
+
+@query
+def cache_fifo_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """A cache for each block of threads, so that blocks run side by side."""
+    return paging.fifo_simulate(event_trace(spark, d, BLOCK_THREADS), [8, 64])
+
+
 @query
 def observed_counters(spark: SparkSession, d: str) -> DataFrame:
     df, seen = paging.observed(event_trace(spark, d))

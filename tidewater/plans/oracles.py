@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import BFS_SLOTS, DECIMALS, EVERY, K, NPROBE, QUERIES, SAMPLED, SEARCH_SLOTS
+from .catalog import BFS_SLOTS, BLOCK_THREADS, DECIMALS, EVERY, K, NPROBE, QUERIES, SAMPLED, SEARCH_SLOTS
 
 EDGES = """d1 AS (SELECT DISTINCT 2*o_custkey AS u, 2*l_partkey+1 AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48),
 e AS (SELECT u AS src, v AS dst FROM d1 UNION SELECT v, u FROM d1),
@@ -251,3 +251,24 @@ FROM (VALUES (1::BIGINT), (2), (8)) x(v)""",
 SELECT count(*) AS accesses, count(DISTINCT (warp, page, step)) AS probes FROM s""",
     "observed_counters": f"{TIERS} SELECT accesses, t1 AS t1_hits, t2 AS t2_hits FROM s",
 }
+
+ORACLES |= {
+    "tier_hits_blocks": f"""WITH {TRACE}, b0 AS (SELECT *, thread // {BLOCK_THREADS} AS block FROM t),
+a AS (SELECT *, coalesce(lag(page) OVER (PARTITION BY block, thread ORDER BY seq) = page, false) AS h1 FROM b0),
+b AS (SELECT *, NOT h1 AND coalesce(lag(page) OVER (PARTITION BY block, h1, page % 32 ORDER BY seq) = page, false) AS h2 FROM a)
+SELECT count(*) AS accesses, count(*) FILTER (h1) AS t1_hits, count(*) FILTER (h2) AS t2_hits,
+ count(*) - count(*) FILTER (h1) - count(*) FILTER (h2) - count(DISTINCT page) AS t3_hits, count(DISTINCT page) AS misses FROM b""",
+    "tier_hits_coalesced": f"""WITH {TRACE}, s AS (SELECT *, thread // {BLOCK_THREADS} AS block, row_number() OVER (PARTITION BY thread ORDER BY seq) AS step FROM t),
+a AS (SELECT *, coalesce(lag(page) OVER (PARTITION BY block, thread ORDER BY seq) = page, false) AS h1 FROM s),
+l AS (SELECT block, warp, step, page, min(seq) AS seq FROM a WHERE NOT h1 GROUP BY ALL),
+b AS (SELECT *, coalesce(lag(page) OVER (PARTITION BY block, page % 32 ORDER BY seq) = page, false) AS h2 FROM l)
+SELECT (SELECT count(*) FROM a) AS accesses, (SELECT count(*) FROM a WHERE h1) AS t1_hits, count(*) AS probes, count(*) FILTER (h2) AS t2_hits,
+ count(*) - count(*) FILTER (h2) - count(DISTINCT page) AS t3_hits, count(DISTINCT page) AS misses FROM b""",
+    "cache_fifo_blocks": f"""WITH RECURSIVE {TRACE}, r AS MATERIALIZED (SELECT thread // {BLOCK_THREADS} AS cache, page, row_number() OVER (PARTITION BY thread // {BLOCK_THREADS} ORDER BY seq) AS n FROM t),
+walk(cache, slots, n, q, hits, misses) AS (SELECT DISTINCT cache, slots, 0::BIGINT, []::BIGINT[], 0::BIGINT, 0::BIGINT FROM r, (VALUES (8), (64)) v(slots)
+ UNION ALL SELECT w.cache, slots, w.n + 1, CASE WHEN list_contains(q, page) THEN q WHEN len(q) = slots THEN list_append(q[2:], page) ELSE list_append(q, page) END,
+ hits + list_contains(q, page)::INT, misses + (NOT list_contains(q, page))::INT FROM walk w JOIN r ON r.cache = w.cache AND r.n = w.n + 1)
+SELECT cache, slots::INT AS slots, max(hits) AS hits, max(misses) AS misses FROM walk GROUP BY ALL""",
+}
+ORACLES["cache_fifo_sim"] = f"""WITH RECURSIVE {fifo(f"{TRACE}, r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) - 1 AS n, page FROM t)", "(64), (256), (1024)")}
+SELECT 0::BIGINT AS cache, slots::INT AS slots, hits, misses FROM ends"""

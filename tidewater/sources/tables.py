@@ -31,12 +31,12 @@ def purchase_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(p).distinct()
 
 
-def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Access trace: seq = event_id, thread = user_id, warp of 32 threads, one block."""
+def event_trace(spark: SparkSession, sf_dir: str, block_threads: int | None = None) -> DataFrame:
+    """Access trace: seq = event_id, thread = user_id, warp of 32 threads; one block, or one for so many threads."""
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("seq"),
-        F.lit(0).cast("bigint").alias("block"),
+        (F.expr(f"user_id div {block_threads}") if block_threads else F.lit(0).cast("bigint")).alias("block"),
         F.expr("user_id div 32").alias("warp"),
         F.col("user_id").alias("thread"),
         ((F.col("user_id") * 7919 + F.col("event_id") * 37) % 1048576).alias("index"),
