@@ -64,8 +64,8 @@ def postings(docs: DataFrame, wins: DataFrame) -> DataFrame:
 
 
 def frequencies(index: DataFrame) -> DataFrame:
-    """(term, df): occurrences of the windows' terms over the whole corpus."""
-    return index.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df): occurrences of the windows' terms over the whole corpus, summed up in a stage of its own."""
+    return cut(index.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")))
 
 
 def anchors(wins: DataFrame, index: DataFrame, count: int = 2) -> DataFrame:

@@ -139,7 +139,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
     distinct = cut(f.groupBy("fp").agg(F.min("doc_id").alias("low")))
     c = components(links(distinct, bits)).select(F.col("node").alias("fp"), "component")
     named = distinct.join(c, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    # summed up in a stage of its own, so that the join may split a component that holds much
+    ids = cut(named.groupBy("component").agg(F.min("low").alias("component_id")))
     named = named.join(ids, "component").select("fp", "component", "component_id")
     return f.join(named, "fp").select(
         "doc_id", "h", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("component").alias("fp_component")
