@@ -29,3 +29,11 @@ def test_blocks_of_queries(spark, monkeypatch, bound):
     monkeypatch.setattr(distance, "MAX_BROADCAST_BYTES", bound)
     monkeypatch.setattr(distance, "QUERY_BLOCK", 7)
     assert {r.query_id: (r.vec_id, r.dist) for r in vec.brute_force_knn(v, q, exclude_self=True).collect()} == {i: (max(i - 1, 0) if i else 1, 1.0) for i in range(60)}
+
+
+def test_sums_in_tasks_equal_sums_on_the_driver(spark, monkeypatch):
+    v = spark.range(200).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 7).cast("float"), (F.col("id") % 3).cast("float")).alias("embedding"))
+    means = lambda: {r.cluster_id: r.centroid for r in vec.kmeans(v, 4, 3).collect()}
+    want = means()
+    monkeypatch.setattr(vec, "SUMS_BYTES", 0)
+    assert means() == want

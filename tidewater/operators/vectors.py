@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.distance import batch_matrix, best_of, blocks, matrix, nearest, partial_topk
 from .positions import global_position
 
+#: Partial sums of one k-means step that the driver adds up itself.
+SUMS_BYTES = 64 << 20
+
 
 def sample_queries(vectors: DataFrame, count: int, order: str = "vec_id") -> DataFrame:
     """(query_id, vec_id, embedding): the vectors at positions 0, s, 2s, ... with s = floor(N / count)."""
@@ -70,8 +73,11 @@ def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return nearest(vectors, ids, mat, "vec_id", 1, "cluster_id").drop("rank")
 
 
-def _lloyd_step(train: DataFrame, mat: np.ndarray) -> np.ndarray:
-    """New means; each partition sends one row of sums a cluster, and the rows of a cluster are added up in one place."""
+def _lloyd_step(train: DataFrame, mat: np.ndarray, partitions: int) -> np.ndarray:
+    """New means; each partition sends one row of sums a cluster, and the rows of a cluster are added up in one place.
+
+    That place is the driver if the rows of all partitions stay below SUMS_BYTES, else a task for each part of the clusters.
+    """
     handle = train.sparkSession.sparkContext.broadcast(mat)
     k, dim = mat.shape
 
@@ -103,9 +109,13 @@ def _lloyd_step(train: DataFrame, mat: np.ndarray) -> np.ndarray:
 
     schema = "cluster_id bigint, n bigint, s array<double>"
     parts = train.select("embedding").mapInArrow(run, schema)
-    out = np.zeros((k, dim))
-    for r in parts.repartition("cluster_id").mapInArrow(add, schema).collect():  # k rows at most
-        out[r.cluster_id] = np.array(r.s) / r.n
+    if partitions * k * dim * 8 > SUMS_BYTES:
+        parts = parts.repartition("cluster_id").mapInArrow(add, schema)  # k rows
+    out, n = np.zeros((k, dim)), np.zeros(k, dtype=np.int64)
+    for r in parts.collect():
+        out[r.cluster_id] += np.array(r.s)
+        n[r.cluster_id] += r.n
+    out[n > 0] /= n[n > 0, None]
     handle.unpersist()
     return out
 
@@ -127,8 +137,9 @@ def kmeans(vectors: DataFrame, k: int, iters: int = 20, train_fraction: float =
     train = lowest(vectors, int(n * train_fraction)).select("embedding").persist()
     try:
         _, mat = matrix(first_vectors(vectors, k), "cluster_id", "centroid")
+        partitions = train.rdd.getNumPartitions()
         for _ in range(iters):
-            mat = _lloyd_step(train, mat)
+            mat = _lloyd_step(train, mat, partitions)
     finally:
         train.unpersist()
     rows = [(i, [float(x) for x in m]) for i, m in enumerate(mat)]
