@@ -45,6 +45,8 @@ NONE = -(1 << 62)
 #: Stretches of up to so many characters are remembered, CACHE of them a worker.
 REMEMBERED = 64
 CACHE = 500_000
+#: Pairs of pieces that solve() remembers.
+FITS = 100_000
 #: Places for pairs of pieces and whether they fit; a newer pair takes an older one's place.
 PAIRS = 1 << 21
 HARD = re.compile(r"(?<=[^ ]) |(?<=\n).|\n", re.S)  # where no piece can cross
@@ -248,7 +250,7 @@ class Pieces:
         """fits(), remembered."""
         ok = self.fit.get((a, b))
         if ok is None:
-            if len(self.fit) >= CACHE:
+            if len(self.fit) >= FITS:
                 self.fit.clear()
             ok = self.fit[a, b] = self.fits(a, b)
         return ok
