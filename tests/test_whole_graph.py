@@ -2,6 +2,9 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from tidewater.operators import graph
 from tidewater.plans.catalog import REGISTRY
 from tidewater.plans.oracles import FILTER, ORACLES
 from tidewater.sources.tables import table
@@ -29,3 +32,10 @@ def test_whole_graph_holds_every_purchase(spark, sf):
 def test_every_filtered_query_has_a_whole_one():
     cut = {n for n, sql in ORACLES.items() if FILTER in sql}
     assert len(cut) == 13 and all(FILTER not in ORACLES[f"{n}_whole"] and f"{n}_whole" in REGISTRY for n in cut)
+
+
+def test_frontiers_by_shuffle_and_by_broadcast(spark, monkeypatch):
+    e = graph.symmetrize(spark.range(60).select((F.col("id") % 20).alias("src"), ((F.col("id") * 7 + 3) % 31).alias("dst")))
+    want = {r.node: r.dist for r in graph.bfs(e, 0).collect()}
+    monkeypatch.setattr(graph, "SMALL_FRONTIER", -1)
+    assert {r.node: r.dist for r in graph.bfs(e, 0, width=3).collect()} == want

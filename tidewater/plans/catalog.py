@@ -30,7 +30,7 @@ SAMPLED = 100
 LEAST = 48.0
 
 #: Pages of the last tier in the models of the searches' reads.
-BFS_SLOTS, SEARCH_SLOTS = 2, 6
+BFS_SLOTS, SEARCH_SLOTS = 12, 6
 #: Threads of a block in the traces that have blocks.
 BLOCK_THREADS = 64
 OBSERVED = ("accesses", "t1_hits", "t2_hits")
@@ -373,7 +373,7 @@ def binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query
 def graph_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The purchase graph as the three array files, read again as (pos, dst)."""
-    e = cut(_graph(spark, d, LEAST))
+    e = cut(_graph(spark, d, None))
     nodes = purchase_nodes(spark, d)
     folder = _folder(spark)
     last = F.coalesce("node", F.lit((1 << 63) - 1))
@@ -449,7 +449,7 @@ def verify_search(spark: SparkSession, d: str) -> DataFrame:
 @query
 def verify_bfs(spark: SparkSession, d: str) -> DataFrame:
     """Breadth-first search with the edges in so many partitions: levels and nodes reached against the target's."""
-    e, dist = _bfs(spark, d, LEAST)
+    e, dist = _bfs(spark, d, None)
     source = _source(e)
     target = cut(dist)
     return harness.verified("BaM", [1, 32], lambda n: graph.bfs(e, source, width=n), target, "node", "dist")
@@ -493,7 +493,7 @@ def observed_counters(spark: SparkSession, d: str) -> DataFrame:
 
 def _tiers_of_bfs(tiers: int) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        e, dist = _bfs(spark, d, LEAST)
+        e, dist = _bfs(spark, d, None)
         return paging.bounded_tier_hits(graph.bfs_trace(e, purchase_nodes(spark, d), dist), BFS_SLOTS, tiers, "launch")
 
     return run
@@ -572,6 +572,6 @@ def bfs_widths(spark: SparkSession, d: str) -> DataFrame:
     out = []
     for width in (harness.THREADS_PER_NODE[0], harness.THREADS_PER_NODE[5]):
         harness.validate(tpn=width)
-        e, dist = _bfs(spark, d, LEAST, width)
+        e, dist = _bfs(spark, d, None, width)
         out.append(graph.bfs_summary(dist, graph.degrees(e)).withColumn("tpn", F.lit(width)))
     return reduce(DataFrame.unionByName, out)
