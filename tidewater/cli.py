@@ -18,11 +18,11 @@ from .operators import generators as gen
 from .operators import graph, harness, ivf, paging
 from .operators import vectors as vec
 from .session import cut, local_session
-from .sources import binary
+from .sources import benchlog, binary
 
 PROBES = 10
 QUERIES = 100
-BLOCK = 1024
+TARGET, OWN = benchlog.ROW_MARKS
 
 
 def parser() -> argparse.ArgumentParser:
@@ -107,17 +107,17 @@ def bfs(spark: SparkSession, a: argparse.Namespace) -> str:
     e, nodes = cut(e), cut(nodes)
     deg = graph.degrees(e)
     found: dict[str, tuple] = {}
-    for name, width in (("Target_T", 1), ("BaM", a.tpn)):
+    for name, width in ((TARGET, 1), (OWN, a.tpn)):
         ms = harness.timed(graph.bfs(e, source, width=width))
         dist = cut(graph.bfs(e, source, width=width))
         found[name] = (ms, dist, graph.bfs_summary(dist, deg).first())
     _, slots = paging.sizing(e.count(), a.cache_perc)
-    t = paging.bounded_tier_hits(graph.bfs_trace(e, nodes, found["BaM"][1], a.tpn), max(1, slots), a.tlb, "launch").first()
-    want, got = found["Target_T"][2], found["BaM"][2]
+    t = paging.bounded_tier_hits(graph.bfs_trace(e, nodes, found[OWN][1], a.tpn), max(1, slots), a.tlb, "launch").first()
+    want, got = found[TARGET][2], found[OWN][2]
     same = (want.nodes_reached, want.max_level) == (got.nodes_reached, got.max_level)
     rows = [
-        ("Target_T", 1, found["Target_T"][0], want.edges_accessed, None, None, None, "REF"),
-        ("BaM", a.tpn, found["BaM"][0], got.edges_accessed, t.t1_hits, t.t2_hits + t.t3_hits, t.misses, "PASS" if same else "FAIL"),
+        (TARGET, 1, found[TARGET][0], want.edges_accessed, None, None, None, "REF"),
+        (OWN, a.tpn, found[OWN][0], got.edges_accessed, t.t1_hits, t.t2_hits + t.t3_hits, t.misses, "PASS" if same else "FAIL"),
     ]
     return harness.report(rows, harness.BFS_REPORT)
 
@@ -131,11 +131,11 @@ def ann(spark: SparkSession, a: argparse.Namespace) -> str:
     ms = harness.timed(ivf.search(index, c, q, PROBES))
     own = ivf.search(index.repartition(a.wpq), c, q, PROBES)
     own_ms = harness.timed(own)
-    status = harness.verified("BaM", [a.wpq], lambda _: own, target, "query_id", "vec_id").first()["status"]
+    status = harness.verified(OWN, [a.wpq], lambda _: own, target, "query_id", "vec_id").first()["status"]
     _, slots = paging.sizing(index.count() * a.dim, a.cache)
     t = paging.bounded_tier_hits(ivf.search_trace(index, c, q, PROBES, a.dim, a.wpq * 32), max(1, slots), a.tlb).first()
     n = q.count()
-    rows = [("Target_T", a.wpq, a.wpq * 32, n, ms, None, None, "REF"), ("BaM", a.wpq, a.wpq * 32, n, own_ms, t.t3_hits, t.misses, status)]
+    rows = [(TARGET, a.wpq, a.wpq * 32, n, ms, None, None, "REF"), (OWN, a.wpq, a.wpq * 32, n, own_ms, t.t3_hits, t.misses, status)]
     return harness.report(rows, harness.ANN_REPORT)
 
 

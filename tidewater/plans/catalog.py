@@ -443,7 +443,7 @@ def verify_search(spark: SparkSession, d: str) -> DataFrame:
     index = cut(index)
     q = cut(_queries(spark, d))
     target = cut(ivf.search(index, c, q, NPROBE))
-    return harness.verified("BaM", [1, 2, 8], lambda n: ivf.search(index.repartition(n), c, q, NPROBE), target, "query_id", "vec_id")
+    return harness.verified("variant", [1, 2, 8], lambda n: ivf.search(index.repartition(n), c, q, NPROBE), target, "query_id", "vec_id")
 
 
 @query
@@ -452,7 +452,7 @@ def verify_bfs(spark: SparkSession, d: str) -> DataFrame:
     e, dist = _bfs(spark, d, None)
     source = _source(e)
     target = cut(dist)
-    return harness.verified("BaM", [1, 32], lambda n: graph.bfs(e, source, width=n), target, "node", "dist")
+    return harness.verified("variant", [1, 32], lambda n: graph.bfs(e, source, width=n), target, "node", "dist")
 
 
 @query

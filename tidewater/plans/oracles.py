@@ -242,9 +242,9 @@ FROM range(1, 40) r(t), (VALUES (0.1::DOUBLE), (0.25), (0.3), (1.0)) v(s)""",
     "query_sampler_clustered": f"WITH {INDEX}, {CLUSTERED} SELECT query_id, vec_id FROM q",
     "ivf_trained_search": f"WITH {TRAINED_INDEX}, {CLUSTERED}, {probe(NPROBE, False)} SELECT query_id, vec_id, pos, round(dist, {DECIMALS}) AS dist FROM found",
     "probe_matrix": f"WITH {QUERY_SET} SELECT query_id, {K + 4}::BIGINT AS probes, {K}::BIGINT AS valid, -1::BIGINT AS lowest FROM q",
-    "verify_search": f"""WITH {QUERY_SET}, {INDEX}, {probe(NPROBE, False)} SELECT 'BaM' AS method, v AS value, (SELECT count(*) FROM found) AS rows, 0::BIGINT AS mismatched, 'PASS' AS status
+    "verify_search": f"""WITH {QUERY_SET}, {INDEX}, {probe(NPROBE, False)} SELECT 'variant' AS method, v AS value, (SELECT count(*) FROM found) AS rows, 0::BIGINT AS mismatched, 'PASS' AS status
 FROM (VALUES (1::BIGINT), (2), (8)) x(v)""",
-    "verify_bfs": f"{BFS_WITH} SELECT 'BaM' AS method, v AS value, (SELECT count(*) FROM dist) AS rows, 0::BIGINT AS mismatched, 'PASS' AS status FROM (VALUES (1::BIGINT), (32)) x(v)",
+    "verify_bfs": f"{BFS_WITH} SELECT 'variant' AS method, v AS value, (SELECT count(*) FROM dist) AS rows, 0::BIGINT AS mismatched, 'PASS' AS status FROM (VALUES (1::BIGINT), (32)) x(v)",
     "bfs_widths": f"{BFS_WITH}, s AS (SELECT max(dist) AS max_level, count(*) AS nodes_reached, sum(degree)::BIGINT AS edges_accessed FROM dist LEFT JOIN deg0 USING (node)) SELECT s.*, tpn FROM s, (VALUES (1), (32)) x(tpn)",
     "mismatch_first": f"WITH {TRACE} SELECT seq, index AS expected, index + 1 AS got FROM t WHERE seq % 1000 = 7 ORDER BY seq LIMIT 5",
     "coalesced_probes_step": f"""WITH {TRACE}, s AS (SELECT warp, page, row_number() OVER (PARTITION BY thread ORDER BY seq) AS step FROM t)
